@@ -6,8 +6,13 @@ from turnweave.llm import queries as q
 
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
+    "op3_chat_formatting": q.op3_chat_formatting,
+    "op7_sharding": q.op7_sharding,
+    "op9_quality_rules": q.op9_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_exact_dedup": q.OP1_SQL,
+    "op3_chat_formatting": q.OP3_SQL,
+    "op9_quality_rules": q.OP9_SQL,
 }
