@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch limits where they are looser than ours."""
+_shipped: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> None:
+    """What operators that run Python on the executors need: this package there, and bounded Arrow batches.
+
+    The session's batch limits are lowered where they are looser than ours.
+    """
+    if (application := spark.sparkContext.applicationId) not in _shipped:
+        package = Path(__file__).parents[1]
+        archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(application)
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{key}"
         try:

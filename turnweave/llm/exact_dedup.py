@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import bound_batches
+from turnweave.llm._session import prepare
 
 #: Bytes of content that one table may hold, and the number of scratch files of one level (a hexadecimal digit).
 TABLE_BYTES, FANOUT = 32 << 20, 16
@@ -193,7 +193,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     largest id stays, a null id being smaller than any other; of rows that repeat both id and text, exactly one stays.
     Ids are cast to BIGINT. Other columns are ignored. An empty table gives an empty result.
     """
-    bound_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     folded = rows.mapInArrow(_fold, "digest binary, content binary, keep bigint, copies bigint")
     groups = folded.repartition("digest").mapInArrow(_bucket, "digest binary, keep_id bigint, group_size bigint")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnweave.llm import chat, quality
 from turnweave.llm._session import table
 from turnweave.llm.exact_dedup import exact_dedup
+from turnweave.llm.near_dedup import near_dedup
 from turnweave.llm.sharding import interleave
 
 
@@ -66,6 +67,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
