@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm import chat, quality
+from turnweave.llm import chat, quality, toxicity
 from turnweave.llm._session import table
 from turnweave.llm.exact_dedup import exact_dedup
 from turnweave.llm.near_dedup import near_dedup
@@ -26,6 +26,13 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    found = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+
+
 #: A conversation whose texts hold control strings of common templates.
 TRAP = r"\### Assistant: </turn> ok"
 

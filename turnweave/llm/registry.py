@@ -6,6 +6,7 @@ from turnweave.llm import queries as q
 
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
+    "op2_toxicity": q.op2_toxicity,
     "op3_chat_formatting": q.op3_chat_formatting,
     "op7_sharding": q.op7_sharding,
     "op8_near_dedup": q.op8_near_dedup,
