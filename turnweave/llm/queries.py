@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm import chat, quality, toxicity
+from turnweave.llm import chat, pii, quality, toxicity
 from turnweave.llm._session import table
 from turnweave.llm.exact_dedup import exact_dedup
 from turnweave.llm.near_dedup import near_dedup
@@ -70,6 +70,12 @@ FROM e GROUP BY conv_id
 """
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", lambda m, n=n: m["kind"] == n)).cast("bigint").alias(f"n_{k}") for n, k in enumerate(pii.BASE)]
+    return found.select("doc_id", *counts, F.sha2(pii.written("base"), 256).alias("base_sha256"), pii.written("spans").alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"))
 

@@ -8,6 +8,7 @@ QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
     "op2_toxicity": q.op2_toxicity,
     "op3_chat_formatting": q.op3_chat_formatting,
+    "op6_pii": q.op6_pii,
     "op7_sharding": q.op7_sharding,
     "op8_near_dedup": q.op8_near_dedup,
     "op9_quality_rules": q.op9_quality_rules,
