@@ -6,10 +6,15 @@ over k coordinates; a document's signature keeps, per coordinate, its dart of th
 coordinate with the probability of their weighted Jaccard similarity. As many ranks are thrown as fill all coordinates,
 so a text of n shingles costs about max(n, k log k) darts, and not n times k.
 
-Copies are folded first, so only different texts meet. Documents that agree in a band are candidates. Of each bucket
-every member is checked, by exact similarity of whole texts, against the bucket's lowest and highest document, which
-makes links linear in the members; classes are the connected components. Where a bucket is then still of several classes,
-the pairs across its classes are checked as well, so the classes are those that all candidate pairs would give.
+Copies are folded first, so only different texts meet. Documents that agree in a band are candidates, checked by exact
+similarity. A bucket is not expanded into pairs: each member is first checked against that bucket end (lowest or highest
+document of any of its buckets) with which it shares most bands, then against the other ends if they are still of
+another class. Where a bucket is then of several classes, its members are searched for in the larger classes that they
+met there: a class is an inverted index of its members' shingles, in blocks of bounded size, that a block of queries is
+counted against, and only links leave the task. Classes are the connected components, so they are at least those that
+all candidate pairs would give. What cannot reach the similarity is left out before: two texts share no shingle that only one document of the buckets has, which bounds what a pair shares
+by the lesser number of shingles that either has in common with anyone. In a large group of edited copies that rules out
+most of the pairs that fall short.
 """
 
 from __future__ import annotations
@@ -25,10 +30,15 @@ from pyspark.sql import functions as F
 from turnweave.llm._session import prepare, cut
 from turnweave.llm._words import mix, word_hashes
 
-SHINGLE_WORDS, SIMILARITY = 5, 0.8
+SHINGLE_WORDS = 5
+#: The least similarity, 0.8, as a fraction, so that it is compared in whole numbers.
+NUM, DEN = 4, 5
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** 5) ** 28, which is 1.5e-5.
 BANDS, ROWS = 28, 5
 
+#: Bytes of shingles that the members, or the queries, of one search task hold on average.
+BLOCK_BYTES = 16 << 20
+
 _U = np.uint64
 _FRACTION = 44
 _ODD = mix(np.arange(1, 65, dtype=_U)) | _U(1)
@@ -125,8 +135,8 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = band_keys(signatures(units, rows, n))[sizes > 0].view(np.int64)
         ends = np.concatenate([[0], np.cumsum(np.where(sizes > 0, BANDS, 0))]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(content, pa.binary()), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
-            names=["id", "content", "size", "keys"],
+            [batch.column(0), pa.array(content, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
+            names=["id", "content", "keys"],
         )
 
 
@@ -134,9 +144,8 @@ def _units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words, offsets = word_hashes(batch.column(1))
         units, rows = shingles(words, offsets)
-        short = (units >> _U(32)).astype(np.uint32)
         ends = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-        sets = [np.sort(short[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
+        sets = [np.sort(units[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "units"])
 
 
@@ -144,22 +153,68 @@ def _similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
         for n, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+            a, b = np.frombuffer(a, _U), np.frombuffer(b, _U)
             both = np.sort(np.concatenate([a, b]), kind="stable")
             shared = int((both[1:] == both[:-1]).sum())
-            if shared >= SIMILARITY * (len(a) + len(b) - shared):
+            if DEN * shared >= NUM * (len(a) + len(b) - shared):
                 kept.append(n)
         yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose texts (id, text) have at least SIMILARITY, by 32-bit hashes of all shingles."""
-    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    units = texts.join(ids, F.col("id") == F.col("node"), "left_semi").mapInArrow(_units, "id bigint, units binary")
+def _exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        units = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        at = np.repeat(np.arange(len(units)), [len(x) for x in units])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([np.zeros(0, np.int64), *units]))], names=["id", "unit"])
+
+
+def verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose units (id, units) have at least the similarity NUM / DEN."""
     left = units.select(F.col("id").alias("a"), F.col("units").alias("of_a"))
     right = units.select(F.col("id").alias("b"), F.col("units").alias("of_b"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b")
-    return full.mapInArrow(_similar, "a bigint, b bigint")
+    return cut(full.mapInArrow(_similar, "a bigint, b bigint"))
+
+
+def _search(members: pa.Table, queries: pa.Table) -> pa.Table:
+    """One link (a, b) for each query that has a similar member."""
+    owner = members.column("node").to_numpy()
+    units = [np.frombuffer(x, _U) for x in members.column("units").to_pylist()]
+    sizes = np.array([len(x) for x in units], np.int64)
+    posted = np.concatenate([np.zeros(0, _U), *units])
+    order = np.argsort(posted, kind="stable")
+    posted, at = posted[order], np.repeat(np.arange(len(units)), sizes)[order]
+    found = []
+    for node, own in zip(queries.column("node").to_pylist(), queries.column("units").to_pylist()):
+        own = np.frombuffer(own, _U)
+        start = np.searchsorted(posted, own, "left")
+        n = np.searchsorted(posted, own, "right") - start
+        hits = at[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        shared = np.bincount(hits, minlength=len(owner))
+        similar = np.flatnonzero(DEN * shared >= NUM * (sizes + len(own) - shared))
+        if len(similar):
+            found.append((node, int(owner[similar[0]])))
+    return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+
+def searched(queries: DataFrame, labels: DataFrame, units: DataFrame) -> DataFrame:
+    """Links (a, b) of the queries (node, target) to members of the class ``target``: one, where there is any, for each
+    query and block. Members and queries of a class meet in blocks of BLOCK_BYTES."""
+    size = F.octet_length("units")
+    asked = queries.join(units.withColumnRenamed("id", "node"), "node")
+    targets = queries.select("target").distinct()
+    alone = targets.select(F.col("target").alias("node"), "target")  # the lowest member, and the only one of a class without links
+    of_class = labels.where("node <> label").select("node", F.col("label").alias("target")).join(targets, "target", "left_semi").select("node", "target").union(alone)
+    held = of_class.join(units.withColumnRenamed("id", "node"), "node")
+    blocks = lambda frame, name: frame.groupBy("target").agg(F.ceil(F.sum(size) / BLOCK_BYTES).cast("int").alias(name))
+    shape = cut(blocks(held, "blocks").join(blocks(asked, "query_blocks"), "target"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    held = held.join(shape, "target").select("target", place("blocks").alias("block"), every("query_blocks").alias("query_block"), "node", "units")
+    asked = asked.join(shape, "target").select("target", every("blocks").alias("block"), place("query_blocks").alias("query_block"), "node", "units")
+    by = ("target", "block", "query_block")
+    held, asked = (f.select(*(F.col(c).alias(c) for c in f.columns)) for f in (held, asked))  # columns of their own, though both come from units
+    return cut(held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_search, "a bigint, b bigint"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,44 +240,66 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``id_col, class_id, n_links, kept``.
+    """One row per input row: ``id_col, class_id, kept``.
 
     Words are runs of anything but U+0020 and U+0009-000D, A-Z read as a-z. Documents are linked if their weighted
     Jaccard similarity over five-word shingles is at least 0.8; a text of one to four words is one shingle; texts of the
-    same words are copies, also those without words (null, empty). ``class_id`` is the lowest id of the class,
-    ``n_links`` the number of checked links of the text to other texts, ``kept`` marks that lowest document. Rows that
-    share an id are one document of several texts. A row without an id belongs to its copies' class, to none if it has
-    no copies with ids, and is kept only in that case. An empty table gives an empty result.
+    same words are copies, also those without words (null, empty). ``class_id`` is the lowest id of the class, and
+    ``kept`` marks that lowest document. Rows that share an id are one document of several texts. A row without an id
+    belongs to its copies' class, to none if it has no copies with ids, and is kept only in that case. An empty table
+    gives an empty result.
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signed, "id bigint, content binary, size bigint, keys array<bigint>"))
+    signed = cut(texts.mapInArrow(_signed, "id bigint, content binary, keys array<bigint>"))
     # of copies the lowest id stands for all; their signatures are the same
-    nodes = signed.groupBy("content").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    banded = nodes.where("node IS NOT NULL").select("node", "size", F.explode("keys").alias("key"))
+    nodes = signed.groupBy("content").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
+    banded = nodes.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("lowest"), F.max("node").alias("highest")).where("lowest < highest")
-    members = cut(banded.join(buckets, "key").select("key", "node", "size", "lowest", "highest"))
+    members = cut(banded.join(buckets, "key").select("key", "node", "lowest", "highest"))
+    in_buckets = members.select("node").distinct()
+    units = cut(texts.join(in_buckets, F.col("id") == F.col("node"), "left_semi").mapInArrow(_units, "id bigint, units binary"))
+    # units that no other document of the buckets has
+    own = units.mapInArrow(_exploded, "id bigint, unit bigint").groupBy("unit").agg(F.min("id").alias("node"), F.max("id").alias("other"))
+    own = own.where("node = other").groupBy("node").agg(F.count("*").alias("own"))
+    n_units = F.shiftright(F.octet_length("units"), 3).cast("bigint")
+    sizes = units.groupBy(F.col("id").alias("node")).agg(F.min(n_units).alias("size"), F.max(n_units).alias("most"), F.count("*").alias("texts"))
+    common = F.when(F.col("texts") == 1, F.col("size") - F.coalesce("own", F.lit(0))).otherwise(F.col("most"))  # of several texts, a bound that holds for each
+    sizes = cut(sizes.join(own, "node", "left").select("node", "size", common.alias("common")))
+    possible = f"{DEN + NUM} * least(common, end_common) >= {NUM} * (size + end_size)"
+    of_end = sizes.select(F.col("node").alias("end"), F.col("size").alias("end_size"), F.col("common").alias("end_common"))
+
+    ends = members.select("node", F.explode(F.array("lowest", "highest")).alias("end")).where("node <> end").groupBy("node", "end").agg(F.count("*").alias("bands"))
+    ends = cut(ends.join(sizes, "node").join(of_end, "end").where(possible).select("node", "end", "bands"))
+    best = ends.groupBy("node").agg(F.max_by("end", F.struct("bands", -F.col("end"))).alias("end"))
+    pair = (F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b"))
+    tried = cut(best.select(*pair).distinct())
+    links = verified(tried, units)
+    labels = components(links)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        label = labels.select(F.col("node").alias("end"), F.col("label").alias("end_label"))
+        both = pairs.join(labels, "node", "left").join(label, "end", "left")
+        return both.where("coalesce(label, node) <> coalesce(end_label, end)")
 
-    ends = members.select("node", F.explode(F.array("lowest", "highest")).alias("end")).where("node <> end")
-    tried = cut(ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct())
-    links = cut(verified(tried, texts))
+    more = cut(apart(ends).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
+    links = links.union(verified(more, units))
     labels = components(links)
 
-    labelled = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    of_mixed = cut(labelled.join(mixed, "key", "left_semi"))
-    most = of_mixed.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-    strays = of_mixed.join(most, "key").where("label <> main").select("key", F.col("node").alias("s"), F.col("size").alias("s_size"), F.col("label").alias("s_label"))
-    across = of_mixed.join(strays, "key").where(f"label <> s_label AND size >= {SIMILARITY} * s_size AND s_size >= {SIMILARITY} * size")
-    rest = across.select(F.least("node", "s").alias("a"), F.greatest("node", "s").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = cut(verified(rest, texts))
-    labels = cut(components(links.union(more)))
-
-    degree = links.union(more).distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of_node = nodes.select("content", "node").join(labels, "node", "left").join(degree, "node", "left")
-    of_node = of_node.select("content", "node", F.coalesce("label", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"))
+    # the same for whole classes: their members' least size and most common units in a bucket bound what a query can share
+    labelled = members.select("key", "node").join(labels, "node", "left").join(sizes, "node")
+    labelled = labelled.where(f"{DEN} * common >= {NUM} * size").select("key", "node", "size", "common", F.coalesce("label", "node").alias("label"))
+    labelled = cut(labelled)
+    extent = labelled.select("node", "label").distinct().groupBy("label").agg(F.count("*").alias("extent"))
+    classes = labelled.groupBy("key", "label").agg(F.min("size").alias("end_size"), F.max("common").alias("end_common"))
+    classes = classes.join(extent, "label").select("key", F.col("label").alias("target"), "end_size", "end_common", F.struct("extent", "label").alias("rank"))
+    met = labelled.join(extent, "label").join(classes, "key").where(f"struct(extent, label) < rank AND {possible}")
+    links = links.union(searched(cut(met.select("node", "target").distinct()), labels, units))
+    labels = cut(components(links))
+
+    of_node = nodes.select("content", "node").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("class_id"))
     return (
         signed.select("id", "content")
         .join(of_node, "content")
-        .select(F.col("id").alias(id_col), "class_id", "n_links", (F.col("class_id").isNull() | (F.coalesce("id", F.col("class_id") - 1) == F.col("class_id"))).alias("kept"))
+        .select(F.col("id").alias(id_col), "class_id", (F.col("class_id").isNull() | (F.coalesce("id", F.col("class_id") - 1) == F.col("class_id"))).alias("kept"))
     )
