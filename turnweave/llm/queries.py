@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm import chat, pii, quality, toxicity
+from turnweave.llm import chat, license_scan, mixing, packing, pii, quality, toxicity
 from turnweave.llm._session import table
 from turnweave.llm.exact_dedup import exact_dedup
 from turnweave.llm.near_dedup import near_dedup
@@ -70,6 +70,14 @@ FROM e GROUP BY conv_id
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("base", lambda m, n=n: m["kind"] == n)).cast("bigint").alias(f"n_{k}") for n, k in enumerate(pii.BASE)]
@@ -121,3 +129,7 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits
 FROM b
 """
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "mix.*")

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from turnweave.llm import queries as q
 
 QUERIES = {
     "op1_exact_dedup": q.op1_exact_dedup,
     "op2_toxicity": q.op2_toxicity,
     "op3_chat_formatting": q.op3_chat_formatting,
+    "op4_license_scan": q.op4_license_scan,
+    "op5_best_fit_packing": q.op5_best_fit_packing,
     "op6_pii": q.op6_pii,
     "op7_sharding": q.op7_sharding,
     "op8_near_dedup": q.op8_near_dedup,
     "op9_quality_rules": q.op9_quality_rules,
+    "op10_mixing": q.op10_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
