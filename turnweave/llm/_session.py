@@ -7,7 +7,8 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch, so that a Python worker's memory does not depend on text lengths.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -60,3 +61,12 @@ def cut(frame: DataFrame) -> DataFrame:
     """Materialise in the shared folder and cut the lineage."""
     checkpoint_dir(frame.sparkSession)
     return frame.checkpoint(eager=True)
+
+
+def pinned(column: Column) -> Column:
+    """The column, such that no later filter moves below the projection that computes it.
+
+    The optimiser would put whole expressions in place of the arrays that lambdas refer to, and each element would
+    compute them anew.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.llm._session import pinned
+
 #: Licence notices, fixed values: the words by which each licence asks to be referred to, or its own opening words.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -73,5 +75,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice:
                         named_struct('line', l.line, 'template', t.template, 'licence', t.licence, 'dice', 2D * size(array_intersect(l.bigrams, t.bigrams)) / (t.size + size(l.bigrams))), best)))"""
     f = f.withColumn("_found", F.expr(f"filter({compared}, m -> m.dice >= {dice}D)"))
     best = F.expr("array_sort(_found, (x, y) -> CASE WHEN x.dice > y.dice THEN -1 WHEN x.dice < y.dice THEN 1 ELSE x.line - y.line END)")
-    f = f.withColumn("_best", F.get(best, F.lit(0)))
-    return f.select(F.col("_id").alias(id_col), F.col("_best.licence").alias("licence"), F.col("_best.dice").alias("dice"), F.col("_found").alias("notices"))
+    f = f.withColumn("_best", pinned(F.get(best, F.lit(0))))
+    return f.select(F.col("_id").alias(id_col), F.col("_best.licence").alias("licence"), F.col("_best.dice").alias("dice"), pinned(F.col("_found")).alias("notices"))

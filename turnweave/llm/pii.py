@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.llm._session import pinned
+
 #: Kinds in the order that breaks ties of position; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "credential", "key", "id_number", "local_phone")
 BASE = KINDS[:4]
@@ -210,7 +212,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     else:
         added = F.col("_more")
     bare = lambda spans: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.translate(m["text"], _MARK, " ").alias("text")))
-    return found.select(F.col("_id").alias(id_col), bare(F.col("_base")).alias("base"), bare(F.array_sort(F.concat("_base", added))).alias("spans"))
+    return found.select(F.col("_id").alias(id_col), pinned(bare(F.col("_base"))).alias("base"), pinned(bare(F.array_sort(F.concat("_base", added)))).alias("spans"))
 
 
 def written(spans: str) -> Column:

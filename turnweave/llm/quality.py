@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.llm._session import pinned
+
 #: Rules in bit order: name, SQL condition over the measurements that fails a document.
 RULES = (
     ("few_words", "n_words < 50"),
@@ -61,7 +63,7 @@ def _measure(frame: DataFrame) -> DataFrame:
 MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_letters", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def ledger(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
+def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input's columns plus a struct ``ledger`` of ``fail_bits`` and the measurements.
 
     A null text has no words and fails ``few_words``, as does an empty one. Words are runs of anything but U+0020 and
@@ -74,7 +76,7 @@ def ledger(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFra
     bits = F.lit(0)
     for name, fails in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(fails), BIT[name]).otherwise(0))
-    return measured.select("_row.*", F.struct(bits.alias("fail_bits"), *MEASUREMENTS).alias("ledger"))
+    return measured.select("_row.*", F.struct(pinned(bits).alias("fail_bits"), *MEASUREMENTS).alias("ledger"))
 
 
 def passes(version: str, bits: Column | None = None) -> Column:
