@@ -1 +1 @@
-
+"""Scalar functions of transcripts as Column expressions."""

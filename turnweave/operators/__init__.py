@@ -1 +1 @@
-
+"""Joins and aggregations of transcripts."""

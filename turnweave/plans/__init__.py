@@ -1,0 +1 @@
+"""Whole plans over the operators, and the driver's queries."""

@@ -1,4 +1,158 @@
-"""Queries over the driver's tables and the SQL that gives the same rows."""
+"""Queries over the driver's tables and the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+There are no recordings among the tables, so ``conversations`` serves as one: a turn of a conversation is a segment as
+long as its text, and speakers' turns are segments shifted, left out and relabelled so that misses and ties occur.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from turnweave.functions import scalars
+from turnweave.operators import overlap
+from turnweave.plans import transcripts
+from turnweave.sources import documents
+
+_SEGMENTS = """SELECT conv_id AS rec, turn AS pos,
+  (SUM(d) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - d AS st,
+  SUM(d) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS en, role, text
+FROM (SELECT *, LENGTH(text) / CAST(16 AS DOUBLE) AS d FROM conversations) c"""
+_TURNS = """SELECT rec, pos, st + ((rec * 7 + pos * 3) % 5 - 2) * CAST(8 AS DOUBLE) AS st,
+  en + ((rec * 5 + pos) % 5 - 2) * CAST(8 AS DOUBLE) AS en,
+  CONCAT('SPEAKER_0', CAST((pos + rec % 2) % 3 AS VARCHAR(2))) AS speaker
+FROM segments WHERE (rec + pos) % 4 <> 3"""
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    segments = spark.sql(_SEGMENTS.replace("conversations", "{conversations}"), conversations=conversations)
+    turns = spark.sql(_TURNS.replace("segments", "{segments}"), segments=segments)
+    names = {"st": "start", "en": "end"}
+    return segments.withColumnsRenamed(names), turns.withColumnsRenamed(names)
+
+
+def _back(frame: DataFrame) -> DataFrame:
+    return frame.withColumnsRenamed({"start": "st", "end": "en"})
+
+
+def _padded(segments: DataFrame) -> DataFrame:
+    """Segments whose texts need stripping and some of whose times pass an hour."""
+    text = F.concat(F.lit(" 　\n"), "text", F.lit("\t\x1c "))
+    return segments.withColumns({"start": F.col("start") + (F.col("rec") % 3) * F.lit(3500.0), "text": text})
+
+
+def segments_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _ = _tables(spark, sf_dir)
+    nested = segments.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end", "text"))).alias("s"))
+    nested = nested.select("rec", F.transform("s", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))).alias("segments"))
+    return _back(documents.unnest(nested)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _ = _tables(spark, sf_dir)
+    nested = segments.groupBy("rec").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "end", "text"))).alias("segments"))
+    written = nested.select("rec", F.to_json(F.struct("segments")).alias("json"))
+    return _back(documents.segments(written)).withColumn("pos", F.col("pos").cast("bigint"))
+
+
+def turns_default_speaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, turns = _tables(spark, sf_dir)
+    lost = F.when((F.col("rec") + F.col("pos")) % 5 != 0, F.col("speaker"))
+    return _back(turns.select("rec", "pos", "start", "end", scalars.speaker_or_unknown(lost).alias("speaker")))
+
+
+def text_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _ = _tables(spark, sf_dir)
+    return _padded(segments).select("rec", "pos", scalars.strip(F.col("text")).alias("text"))
+
+
+def time_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _ = _tables(spark, sf_dir)
+    seconds = F.col("start") + (F.col("rec") % 3) * F.lit(3500.0) - (F.col("pos") % 4) * F.lit(61.5)
+    return segments.select("rec", "pos", scalars.time_text(seconds).alias("time"))
+
+
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_pairs(*_tables(spark, sf_dir))
+
+
+def speaker_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap.assign_speakers(*_tables(spark, sf_dir))
+    return _back(found).select("rec", "pos", "st", "en", "speaker")
+
+
+def speaker_assign_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = overlap.assign_speakers(*_tables(spark, sf_dir), bin_seconds=32.0)
+    return _back(found).select("rec", "pos", "st", "en", "speaker")
+
+
+def transcript_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments, _ = _tables(spark, sf_dir)
+    return transcripts.plain(_padded(segments))
+
+
+def transcript_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # labels are found at the true times, then times are moved
+    segments, turns = _tables(spark, sf_dir)
+    found = _padded(overlap.assign_speakers(segments, turns))
+    line = scalars.labelled_line(F.col("speaker"), F.col("start"), scalars.strip(F.col("text")))
+    return found.select("rec", "pos", line.alias("line"))
+
+
+_NAMES = ("a.m4a", "a.b.m4a", ".m4a", "..b", "a..b", "a.", ".a.b", "noext", "회의 1.m4a", "a.tar.gz")
+
+
+def file_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.explode(F.array(*map(F.lit, _NAMES)))
+    return spark.range(1).select(names.alias("name")).select("name", scalars.stem(F.col("name")).alias("stem"))
+
+
+QUERIES = {
+    "segments_unnest": segments_unnest,
+    "json_roundtrip": json_roundtrip,
+    "turns_default_speaker": turns_default_speaker,
+    "text_strip": text_strip,
+    "time_format": time_format,
+    "overlap_pairs": overlap_pairs,
+    "speaker_assign": speaker_assign,
+    "speaker_assign_binned": speaker_assign_binned,
+    "transcript_plain": transcript_plain,
+    "transcript_labelled": transcript_labelled,
+    "file_stem": file_stem,
+}
+
+_WITH = f"WITH segments AS ({_SEGMENTS}), turns AS ({_TURNS})"
+_N = "CAST(trunc({s}) AS BIGINT)"
+_SHIFTED = "st + (rec % 3) * CAST(3500 AS DOUBLE)"
+
+
+def _time_sql(seconds: str) -> str:
+    n = _N.format(s=seconds)
+    minutes, rest = f"((({n} % 3600) + 3600) % 3600) // 60", f"(({n} % 60) + 60) % 60"
+    return f"CASE WHEN {n} >= 3600 THEN printf('%d:%02d:%02d', {n} // 3600, {minutes}, {rest}) ELSE printf('%02d:%02d', {minutes}, {rest}) END"
+
+
+_CHARS = " || ".join(f"chr({ord(c)})" for c in scalars.WHITE_SPACE)
+_STRIPPED = f"trim(chr(32) || chr(12288) || chr(10) || text || chr(9) || chr(28) || chr(32), {_CHARS})"
+_ASSIGNED = """SELECT rec, pos, st, en, text, speaker FROM (
+  SELECT g.rec, g.pos, g.st, g.en, g.text, CASE WHEN t.pos IS NULL THEN 'UNKNOWN' ELSE t.speaker END AS speaker,
+    ROW_NUMBER() OVER (PARTITION BY g.rec, g.pos ORDER BY LEAST(g.en, t.en) - GREATEST(g.st, t.st) DESC NULLS LAST, t.pos ASC) AS rn
+  FROM segments g LEFT JOIN turns t ON g.rec = t.rec AND g.st < t.en AND t.st < g.en AND g.st < g.en AND t.st < t.en) x WHERE rn = 1"""
+_UNNESTED = f"{_WITH} SELECT rec, pos, st, en, text FROM segments"
+_SPEAKERS = f"{_WITH} SELECT rec, pos, st, en, speaker FROM ({_ASSIGNED})"
+
+ORACLE_SQL = {
+    "segments_unnest": _UNNESTED,
+    "json_roundtrip": _UNNESTED,
+    "turns_default_speaker": f"{_WITH} SELECT rec, pos, st, en, CASE WHEN (rec + pos) % 5 <> 0 THEN speaker ELSE 'UNKNOWN' END AS speaker FROM turns",
+    "text_strip": f"{_WITH} SELECT rec, pos, {_STRIPPED} AS text FROM segments",
+    "time_format": f"{_WITH} SELECT rec, pos, {_time_sql(_SHIFTED + ' - (pos % 4) * CAST(61.5 AS DOUBLE)')} AS time FROM segments",
+    "overlap_pairs": f"""{_WITH} SELECT g.rec, g.pos, t.pos AS t_pos, t.speaker, LEAST(g.en, t.en) - GREATEST(g.st, t.st) AS overlap
+FROM segments g JOIN turns t ON g.rec = t.rec AND g.st < t.en AND t.st < g.en AND g.st < g.en AND t.st < t.en""",
+    "speaker_assign": _SPEAKERS,
+    "speaker_assign_binned": _SPEAKERS,
+    "transcript_plain": f"{_WITH} SELECT rec, pos, {_time_sql(_SHIFTED)} || ' ' || {_STRIPPED} AS line FROM segments",
+    "transcript_labelled": f"{_WITH} SELECT rec, pos, '[' || speaker || '] ' || {_time_sql(_SHIFTED)} || ' ' || {_STRIPPED} AS line FROM ({_ASSIGNED})",
+    "file_stem": "SELECT name, regexp_replace(name, '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS stem FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS name)",
+}

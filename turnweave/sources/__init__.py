@@ -1 +1 @@
-
+"""Where recordings come from and where transcripts go."""

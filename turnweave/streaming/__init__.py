@@ -1 +1 @@
-
+"""Nothing yet: transcripts are made in batches, and no operator here keeps state between them."""
