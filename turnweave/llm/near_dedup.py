@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import prepare, cut
+from turnweave.llm._session import cut, prepare, release
 from turnweave.llm._words import mix, word_hashes
 
 SHINGLE_WORDS = 5
@@ -221,24 +221,32 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label) of every node of the links (a, b): the lowest node of its connected component.
 
     Alternates the large-star and small-star steps, which need a number of rounds logarithmic in a component's size,
-    until nothing changes. Minima are aggregated before they are shuffled; each round is written to the shared folder.
+    until every component is a star around its lowest node. Minima are aggregated before they are shuffled; each round
+    is written to the shared folder.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    summary = None
-    while True:
-        found = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if found == summary:
-            break
-        summary = found
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         edges = cut(small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+    release(edges.sparkSession)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
+def _as_links(labels: DataFrame) -> DataFrame:
+    return labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node is above two others, or both above one and below another."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("above"), F.lit(0).alias("below")).union(edges.select("v", F.lit(0), F.lit(1)))
+    sums = ends.groupBy("n").agg(F.sum("above").alias("above"), F.max("below").alias("below"))
+    return sums.where("above > 1 OR (above = 1 AND below = 1)").isEmpty()
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col, class_id, kept``.
 
@@ -283,8 +291,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return both.where("coalesce(label, node) <> coalesce(end_label, end)")
 
     more = cut(apart(ends).select(*pair).distinct().join(tried, ["a", "b"], "left_anti"))
-    links = links.union(verified(more, units))
-    labels = components(links)
+    links = verified(more, units)
+    labels = components(_as_links(labels).union(links))
 
     # the same for whole classes: their members' least size and most common units in a bucket bound what a query can share
     labelled = members.select("key", "node").join(labels, "node", "left").join(sizes, "node")
@@ -294,8 +302,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = labelled.groupBy("key", "label").agg(F.min("size").alias("end_size"), F.max("common").alias("end_common"))
     classes = classes.join(extent, "label").select("key", F.col("label").alias("target"), "end_size", "end_common", F.struct("extent", "label").alias("rank"))
     met = labelled.join(extent, "label").join(classes, "key").where(f"struct(extent, label) < rank AND {possible}")
-    links = links.union(searched(cut(met.select("node", "target").distinct()), labels, units))
-    labels = cut(components(links))
+    links = searched(cut(met.select("node", "target").distinct()), labels, units)
+    labels = cut(components(_as_links(labels).union(links)))
 
     of_node = nodes.select("content", "node").join(labels, "node", "left").select("content", F.coalesce("label", "node").alias("class_id"))
     return (
