@@ -21,6 +21,19 @@ from turnweave.llm._session import checkpoint_dir, table
 POLICY = "v1"
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """The documents but those whose id is in the one column of ``lost``."""
+    lost = lost.toDF(_fresh(docs, "lost"))
+    return docs.join(lost, docs["doc_id"] == lost[lost.columns[0]], "left_anti")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the policy keeps."""
     ledgered = quality.ledger(docs)
@@ -30,22 +43,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id."""
     found = exact_dedup.exact_dedup(docs)
-    lost = found.where("NOT kept").select(F.col("doc_id").alias("_lost"), F.col("text_sha256").alias("_digest"))
     unclear = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL")
     if unclear.isEmpty():
-        return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+        return _without(docs, found.where("NOT kept").select("doc_id"))
     # ids that repeat, or are missing: rows are told apart by text as well, and of alike rows one stays
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    keyed = docs.withColumn("_text_digest", F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256))
-    stays = found.where("kept").select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.col("_text_digest") == F.col("_digest"))
-    return keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_text_digest"]).drop("_text_digest")
+    digest, name, other = (_fresh(docs, x) for x in ("digest", "stays", "stays_digest"))
+    keyed = docs.withColumn(digest, F.sha2(F.translate(F.coalesce("text", F.lit("")), upper, lower), 256))
+    stays = found.where("kept").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(other))
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(digest) == F.col(other))
+    return keyed.join(stays, same, "left_semi").dropDuplicates(["doc_id", digest]).drop(digest)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    lost = near_dedup.near_dedup(docs).where("NOT kept AND doc_id <> class_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    return _without(docs, near_dedup.near_dedup(docs).where("NOT kept AND doc_id <> class_id").select("doc_id").distinct())
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

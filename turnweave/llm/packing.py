@@ -3,7 +3,9 @@
 A document's tokens are cut into pieces of at most the longest length. Pieces are dealt into groups of bounded size by a
 hash, as many groups as the table needs; each group is packed on its own, longest pieces first: a piece goes into the
 open bin that it fills best, else into a new bin of the length that costs least per token it is likely to hold. When all
-is packed, each bin shrinks to the shortest permitted length that holds its contents.
+is packed, each bin shrinks to the shortest permitted length that holds its contents. How full new bins get depends on
+the pieces that are left, so a group is packed under several expectations and the cheapest result stays; one of them
+opens only the longest bins, so several lengths never cost more than one.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ LENGTHS = (512, 1024, 2048, 4096, 8192)
 GROUP_PIECES = 20_000
 #: Cost of a bin of length c: OVERHEAD + c + c * c / ATTENTION.
 OVERHEAD, ATTENTION = 16.0, 65_536.0
-#: Share of what a piece leaves free in a new bin that later pieces are expected to fill.
-EXPECTED_FILL = 0.9
+#: Shares of what a piece leaves free in a new bin that later pieces may be expected to fill; None opens the longest bin.
+EXPECTED_FILLS = (0.0, 0.5, 0.8, 0.95, None)
 
 
 def token_count(text: Column) -> Column:
@@ -37,8 +39,8 @@ def cost(length: int) -> float:
 class Packer:
     """Best fit over open bins, which are listed by the room they have left."""
 
-    def __init__(self, lengths: tuple[int, ...] = LENGTHS):
-        self.lengths = sorted(lengths)
+    def __init__(self, lengths: tuple[int, ...] = LENGTHS, fill: float | None = None):
+        self.lengths, self.fill = sorted(lengths), fill
         self.by_room: list[list[int]] = [[] for _ in range(self.lengths[-1] + 1)]
         self.rooms = 0  # bit r is set if some open bin has room r
         self.filled: list[int] = []
@@ -52,7 +54,9 @@ class Packer:
             if not self.by_room[room]:
                 self.rooms &= ~(1 << room)
         else:
-            length = min((c for c in self.lengths if c >= size), key=lambda c: (cost(c) / max(1.0, size + EXPECTED_FILL * (c - size)), c))
+            length = self.lengths[-1]
+            if self.fill is not None:
+                length = min((c for c in self.lengths if c >= size), key=lambda c: (cost(c) / max(1.0, size + self.fill * (c - size)), c))
             bin_no, room = len(self.filled), length
             self.filled.append(0)
             self.capacity.append(length)
@@ -68,12 +72,19 @@ class Packer:
 
 def pack_group(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int, int, int, int]]:
     """(bin, length of the bin, offset in it, tokens held by it) of each piece, in the order given."""
-    packer, offsets, bins = Packer(lengths), [0] * len(sizes), [0] * len(sizes)
-    for n in sorted(range(len(sizes)), key=lambda n: -sizes[n]):
-        bins[n] = packer.put(sizes[n])
-        offsets[n] = packer.filled[bins[n]] - sizes[n]
-    final = packer.downsized()
-    return [(b, final[b], at, packer.filled[b]) for b, at in zip(bins, offsets)]
+    order = sorted(range(len(sizes)), key=lambda n: -sizes[n])
+    best: tuple = ()
+    for fill in EXPECTED_FILLS:
+        packer, offsets, bins = Packer(lengths, fill), [0] * len(sizes), [0] * len(sizes)
+        for n in order:
+            bins[n] = packer.put(sizes[n])
+            offsets[n] = packer.filled[bins[n]] - sizes[n]
+        final = packer.downsized()
+        total = sum(map(cost, final))
+        if not best or total < best[0]:
+            best = total, bins, offsets, final, packer.filled
+    _, bins, offsets, final, filled = best
+    return [(b, final[b], at, filled[b]) for b, at in zip(bins, offsets)]
 
 
 def _packed(lengths: tuple[int, ...]):
