@@ -56,12 +56,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice:
     """
     known = sorted((len(bigrams(t)), n, name, bigrams(t)) for n, (name, t) in enumerate(templates) if bigrams(t))
     # a + b <= 2 min(a, b) / dice bounds the size of what can match
-    low, high = min(k[0] for k in known) * dice / (2 - dice), max(k[0] for k in known) * (2 - dice) / dice
+    slack = 1e-9  # so that rounding drops no size at the bounds
+    low, high = min(k[0] for k in known) * dice / (2 - dice) - slack, max(k[0] for k in known) * (2 - dice) / dice + slack
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     listed = ", ".join(f"named_struct('size', {size}, 'template', {n}, 'licence', {quoted(name)}, 'bigrams', array({', '.join(map(quoted, grams))}))" for size, n, name, grams in known)
     f = docs.select(F.col(id_col).alias("_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
     f = f.withColumn("_lines", F.expr("transform(_lines, (l, i) -> named_struct('line', i, 'text', l))"))
-    f = f.withColumn("_lines", F.expr(f"filter(_lines, l -> char_length(l.text) > {int(low)})"))
+    f = f.withColumn("_lines", F.expr(f"filter(_lines, l -> char_length(l.text) > {low}D)"))
     f = f.withColumn("_lines", F.expr("transform(_lines, l -> named_struct('line', l.line, 'words', filter(split(lower(l.text), '[^a-z0-9]+'), w -> w <> '')))"))
     # n words have n - 1 bigrams at most, and n different words n - 1 different bigrams at least
     f = f.withColumn("_lines", F.expr(f"filter(_lines, l -> size(l.words) - 1 >= {low}D AND (size(l.words) - 1 <= {high}D OR size(array_distinct(l.words)) - 1 <= {high}D))"))
@@ -69,7 +70,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice:
     f = f.withColumn("_lines", F.expr(f"filter(_lines, l -> size(l.bigrams) BETWEEN {low}D AND {high}D)"))
     f = f.withColumn("_known", F.expr(f"array({listed})"))
     compared = f"""transform(_lines, l -> aggregate(
-        filter(_known, t -> {dice}D * (t.size + size(l.bigrams)) <= 2 * least(t.size, size(l.bigrams))),
+        filter(_known, t -> {dice}D * (t.size + size(l.bigrams)) <= 2 * least(t.size, size(l.bigrams)) + {slack}D),
         named_struct('line', l.line, 'template', -1, 'licence', cast(null AS string), 'dice', 0D),
         (best, t) -> IF(2D * size(array_intersect(l.bigrams, t.bigrams)) / (t.size + size(l.bigrams)) > best.dice,
                         named_struct('line', l.line, 'template', t.template, 'licence', t.licence, 'dice', 2D * size(array_intersect(l.bigrams, t.bigrams)) / (t.size + size(l.bigrams))), best)))"""

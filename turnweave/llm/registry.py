@@ -22,5 +22,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_exact_dedup": q.OP1_SQL,
     "op3_chat_formatting": q.OP3_SQL,
+    "op4_license_scan": q.OP4_SQL,
     "op9_quality_rules": q.OP9_SQL,
 }
