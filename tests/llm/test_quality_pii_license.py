@@ -86,6 +86,7 @@ def test_base_spans(spark, extra):
     for r in found:
         assert r.base == base_spans(rows[r.doc_id][1] or ""), rows[r.doc_id]
         assert {tuple(s) for s in r.raw} <= {tuple(s) for s in r.spans}
+        assert all(s.text == rows[r.doc_id][1][s.start : s.end] for s in r.spans)
         ends = [(s.start, s.end) for s in r.spans if s.kind >= len(pii.BASE)]
         assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 

@@ -63,7 +63,7 @@ def _placed(name: str, kind: str) -> Column:
     return F.expr(
         f"""transform({name}, (m, i) -> named_struct(
               'start', cast(_sum(i) - char_length(m.text) AS int), 'kind', {KINDS.index(kind)}, 'end', cast(_sum(i) AS int),
-              'text', m.text, 'left', right(m.gap, 24), 'right', left(m.next, 1)))""".replace(
+              'text', translate(m.text, '{_MARK}', '{"." if kind == "email" else " "}'), 'left', right(m.gap, 24), 'right', left(m.next, 1)))""".replace(
             "_sum(i)",
             f"(aggregate(slice({name}_blocks, 1, i div {_BLOCK}), 0L, (a, x) -> a + x)"
             f" + aggregate(slice({name}, (i div {_BLOCK}) * {_BLOCK} + 1, i % {_BLOCK} + 1), 0L, (a, x) -> a + char_length(x.gap) + char_length(x.text)))",
@@ -203,7 +203,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     and telephone patterns; ``spans`` has them and the looser candidates that the classifier takes, none of which
     overlaps another. A null text counts as empty and has no spans. With no candidates nothing is trained.
     """
-    found = candidates(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").drop("_text")
+    found = candidates(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
     weights = train(found)
     if weights:
         z = f"{weights[-1]}D + CASE m.kind " + " ".join(f"WHEN {k} THEN {w}D" for k, w in enumerate(weights[: len(KINDS)])) + " END"
@@ -211,7 +211,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         added = F.expr(f"filter(_more, m -> 1 / (1 + exp(-({z}))) >= {threshold}D)")
     else:
         added = F.col("_more")
-    bare = lambda spans: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.translate(m["text"], _MARK, " ").alias("text")))
+    # looked up where the pattern may have seen another character than the text has
+    text = lambda m: F.when(m["kind"].isin(KINDS.index("card"), KINDS.index("credential")), F.substr("_text", m["start"] + 1, m["end"] - m["start"])).otherwise(m["text"])
+    bare = lambda spans: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), text(m).alias("text")))
     return found.select(F.col("_id").alias(id_col), pinned(bare(F.col("_base"))).alias("base"), pinned(bare(F.array_sort(F.concat("_base", added)))).alias("spans"))
 
 
