@@ -126,3 +126,54 @@ def test_licences(spark):
                     best = d, name
         assert found[n].licence == best[1] and (found[n].dice or 0.0) == best[0]
     assert license_scan.scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def best_windows(text):
+    """Every window of words against every template, by brute force; (first word, last word, licence, dice)."""
+    known = [(n, name, set(license_scan.bigrams(t))) for n, (name, t) in enumerate(license_scan.TEMPLATES)]
+    words = re.findall("[a-z0-9]+", text.lower())
+    grams, found = [f"{a} {b}" for a, b in zip(words, words[1:])], []
+    for n, name, own in known:
+        for a in range(len(grams)):
+            for b in range(a, min(len(grams), a + len(own) * 3 // 2)):
+                window = set(grams[a : b + 1])
+                dice = 2 * len(window & own) / (len(window) + len(own))
+                if dice >= license_scan.DICE:
+                    found.append((-dice, -len(own), n, a, b + 1, name))
+    kept = []
+    for w in sorted(found):
+        if all(w[3] > k[4] or w[4] < k[3] for k in kept):
+            kept.append(w)
+    return [(w[5], -w[0]) for w in sorted(kept, key=lambda w: w[3])]
+
+
+def test_licences_across_and_within_lines(spark):
+    gpl, mit = license_scan.TEMPLATES[6][1], license_scan.TEMPLATES[4][1]
+    wrapped = lambda t, n: "\n# ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    rows = {
+        "# " + wrapped(gpl, 11): "GPL-3.0",
+        wrapped(mit, 8): "MIT",
+        "Copyright 2020 Jane Doe. All rights reserved.": "proprietary",
+        "Copyright (c) 2019 Acme. Licensed under the MIT License.": "MIT",
+        "Some text before. Released under the MIT License.": "MIT",
+        " ".join(f"before{n}" for n in range(900)) + mit.join("  ") + " ".join(f"after{n}" for n in range(900)): "MIT",
+        "x\ny " + wrapped(gpl, 9) + "\nCopyright 2020 Jane Doe. All rights\nreserved. More": "GPL-3.0",
+        "The licence is the license of the public domain, under the terms of the law.": None,
+    }
+    rng = random.Random(4)
+    for _, t in license_scan.TEMPLATES:
+        words = ["so it goes"] + [w for w in t.split() if rng.random() > 0.06] + ["and", "so", "on"]
+        rows["".join(w + rng.choice("   \n") for w in words)] = ...
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    lines = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    for r in license_scan.notices(docs).collect():
+        text, wanted = list(rows.items())[r.doc_id]
+        if wanted is not ...:
+            assert r.licence == wanted, text
+            assert lines[r.doc_id].licence is None
+        if not lines[r.doc_id].notices:
+            assert [(m.licence, m.dice) for m in r.notices] == best_windows(text), text
+        for licence, _ in best_windows(text):
+            assert licence in [m.licence for m in r.notices]
+    nothing = spark.createDataFrame([(1, None), (None, "plain"), (2, "")], "doc_id bigint, text string")
+    assert license_scan.notices(nothing).where("size(notices) = 0 AND licence IS NULL").count() == 3

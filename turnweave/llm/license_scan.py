@@ -3,10 +3,18 @@
 Every line of a text is normalised to words of letters and digits, A-Z read as a-z. Where two sets of bigrams have sizes
 a and b, their Dice coefficient is at most 2 min(a, b) / (a + b); so only templates whose size is within those bounds
 are compared, and lines too short or too long for every template are dropped first.
+
+Notices that are wrapped over lines, or stand among other words, are found by windows of words over the whole text. A
+window that matches has at least a template's size times dice / (2 - dice) of its bigrams, so of any larger number of
+bigrams than it can lack one stands in the text: only texts with such an anchor, which one regular expression looks
+for, are cut into words for this. A window need not begin or end with a bigram that its template lacks.
 """
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +45,8 @@ TEMPLATES = (
     ("proprietary", "All rights reserved."),
 )
 DICE = 0.8
+#: Words that make a bigram a poor anchor; the choice of anchors decides the speed only.
+COMMON = frozenset("a and any are as at by in is it of or that the this to under with you".split())
 
 
 def bigrams(text: str) -> list[str]:
@@ -47,12 +57,82 @@ def bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def needed(size: int, dice: float = DICE) -> int:
+    """Bigrams of a template of so many that a match has at least."""
+    return math.ceil(size * dice / (2 - dice) - 1e-9)
+
+
+def anchors(grams: list[str], dice: float = DICE) -> list[str]:
+    """One bigram more than a match can lack, rare ones first."""
+    rare_first = sorted(grams, key=lambda g: (len(COMMON.intersection(g.split())), -len(g)))
+    return rare_first[: len(grams) - needed(len(grams), dice) + 1]
+
+
+def anchor_pattern(templates: list[list[str]], dice: float = DICE) -> str:
+    """A regular expression that each text with a matching window contains, lower-cased."""
+    seconds = defaultdict(set)
+    for grams in templates:
+        for first, second in (g.split() for g in anchors(grams, dice)):
+            seconds[first].add(second)
+    return "(?<![a-z0-9])(?:" + "|".join(f"{a}[^a-z0-9]++(?:{'|'.join(sorted(b))})" for a, b in sorted(seconds.items())) + ")(?![a-z0-9])"
+
+
+def _passages(f: DataFrame, known: list[tuple], dice: float) -> DataFrame:
+    """Adds ``_passages`` to (_text, _found): matching windows, none of which shares a word with a better one."""
+    # every column that a lambda refers to is pinned, or each element would compute it anew
+    step = lambda f, name, sql: f.withColumn(name, pinned(F.expr(sql)))
+    grams = list(dict.fromkeys(g for k in known for g in k[3]))
+    low = F.lower("_text")
+    f = f.withColumn("_low", pinned(F.when(low.rlike(anchor_pattern([k[3] for k in known], dice)), low)))
+    f = step(f, "_by_line", "transform(split(_low, '\n', -1), l -> filter(split(l, '[^a-z0-9]+'), w -> w <> ''))")
+    f = step(f, "_at", "flatten(transform(_by_line, (ws, i) -> array_repeat(i, size(ws))))")
+    f = step(f, "_words", "flatten(_by_line)")
+    f = step(f, "_grams", "transform(slice(_words, 2, size(_words)), (w, i) -> concat(_words[i], ' ', w))")
+    f = step(f, "_here", f"array_intersect(_grams, array({', '.join(map(repr, grams))}))")
+    f = step(f, "_met", "filter(transform(_grams, (g, i) -> named_struct('i', i, 'g', g)), x -> array_contains(_here, x.g))")
+    # templates of which the text has enough, and where
+    listed = ", ".join(f"named_struct('n', {n}, 'size', {size}, 'need', {needed(size, dice)}, 'most', {math.floor(size * (2 - dice) / dice + 1e-9)}, 'own', array({', '.join(map(repr, g))}))" for size, n, _, g in known)
+    f = step(f, "_near", f"filter(transform(array({listed}), t -> named_struct('n', t.n, 'size', t.size, 'need', t.need, 'most', t.most, 'own', array_intersect(_here, t.own))), t -> size(t.own) >= t.need)")
+    f = step(f, "_near", "transform(_near, t -> named_struct('n', t.n, 'size', t.size, 'need', t.need, 'most', t.most, 'met', filter(_met, x -> array_contains(t.own, x.g))))")
+    # from each of those places, the places up to the longest window's end
+    f = step(
+        f,
+        "_from",
+        """flatten(transform(_near, t -> filter(transform(t.met, (x, k) -> named_struct('n', t.n, 'size', t.size, 'need', t.need, 'i', x.i,
+             'met', filter(slice(t.met, k + 1, t.most), y -> y.i < x.i + t.most))), s -> size(s.met) >= s.need AND size(array_distinct(s.met.g)) >= s.need)))""",
+    )
+    f = step(
+        f,
+        "_from",
+        """transform(_from, s -> array_max(transform(sequence(s.need, size(s.met)), e -> named_struct(
+             'dice', 2D * size(array_distinct(slice(s.met.g, 1, e))) / (s.size + size(array_distinct(slice(_grams, s.i + 1, s.met[e - 1].i - s.i + 1)))),
+             'size', s.size, 'n', -s.n, 'i', -s.i, 'end', -s.met[e - 1].i))))""",
+    )
+    # the best first; a window's words are those from i to end + 1
+    best = f"""aggregate(sort_array(filter(_from, w -> w.dice >= {dice}D), false), filter(_from, w -> false),
+                 (kept, w) -> IF(exists(kept, k -> -k.i <= -w.end + 1 AND -w.i <= -k.end + 1), kept, array_append(kept, w)))"""
+    f = step(f, "_from", best)
+    names = "CASE -w.n " + " ".join(f"WHEN {n} THEN {name!r}" for _, n, name, _ in known) + " END"
+    f = step(f, "_from", f"transform(_from, w -> named_struct('line', _at[-w.i], 'place', -w.i, 'last', _at[-w.end + 1], 'template', -w.n, 'licence', {names}, 'dice', w.dice))")
+    # a line that is a notice of the same licence has told of it already
+    rest = "filter(_from, w -> NOT exists(_found, m -> m.licence = w.licence AND m.line BETWEEN w.line AND w.last))"
+    rest = f"transform(array_sort({rest}, (x, y) -> x.place - y.place), w -> named_struct('line', w.line, 'template', w.template, 'licence', w.licence, 'dice', w.dice))"
+    none = "cast(array() AS array<struct<line: int, template: int, licence: string, dice: double>>)"
+    return step(f, "_passages", f"coalesce({rest}, {none})")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice: float = DICE, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """One row per input row: ``id_col, licence, dice, notices``.
+    """One row per input row: ``id_col, licence, dice, notices, passages``.
 
     ``notices`` lists (line, template, licence, dice), the line counted from 0, of each line's best template with at
     least ``dice``; of equal ones the first. ``licence`` and ``dice`` are those of the best line, the first of equal
     ones, or null. A null or empty text has no lines that match. The scan is the only stage.
+
+    ``passages`` lists in the same form, by place, what lines alone do not show: windows of the text's words, within a
+    line or over several, of as many bigrams as the bound allows (repeats counted), with at least ``dice``. Of windows
+    that share a word the best counts: the one of the greatest dice, then of the larger template, then of the first
+    template, then the earlier one, then the shorter one. The line is that of its first word. A window that touches a
+    line in ``notices`` with the same licence is left out.
     """
     known = sorted((len(bigrams(t)), n, name, bigrams(t)) for n, (name, t) in enumerate(templates) if bigrams(t))
     # a + b <= 2 min(a, b) / dice bounds the size of what can match
@@ -60,7 +140,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice:
     low, high = min(k[0] for k in known) * dice / (2 - dice) - slack, max(k[0] for k in known) * (2 - dice) / dice + slack
     quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
     listed = ", ".join(f"named_struct('size', {size}, 'template', {n}, 'licence', {quoted(name)}, 'bigrams', array({', '.join(map(quoted, grams))}))" for size, n, name, grams in known)
-    f = docs.select(F.col(id_col).alias("_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
+    f = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
     f = f.withColumn("_lines", F.expr("transform(_lines, (l, i) -> named_struct('line', i, 'text', l))"))
     f = f.withColumn("_lines", F.expr(f"filter(_lines, l -> char_length(l.text) > {low}D)"))
     f = f.withColumn("_lines", F.expr("transform(_lines, l -> named_struct('line', l.line, 'words', filter(split(lower(l.text), '[^a-z0-9]+'), w -> w <> '')))"))
@@ -74,7 +154,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice:
         named_struct('line', l.line, 'template', -1, 'licence', cast(null AS string), 'dice', 0D),
         (best, t) -> IF(2D * size(array_intersect(l.bigrams, t.bigrams)) / (t.size + size(l.bigrams)) > best.dice,
                         named_struct('line', l.line, 'template', t.template, 'licence', t.licence, 'dice', 2D * size(array_intersect(l.bigrams, t.bigrams)) / (t.size + size(l.bigrams))), best)))"""
-    f = f.withColumn("_found", F.expr(f"filter({compared}, m -> m.dice >= {dice}D)"))
+    f = f.withColumn("_found", pinned(F.expr(f"filter({compared}, m -> m.dice >= {dice}D)")))
+    f = _passages(f, known, dice)
     best = F.expr("array_sort(_found, (x, y) -> CASE WHEN x.dice > y.dice THEN -1 WHEN x.dice < y.dice THEN 1 ELSE x.line - y.line END)")
     f = f.withColumn("_best", pinned(F.get(best, F.lit(0))))
-    return f.select(F.col("_id").alias(id_col), F.col("_best.licence").alias("licence"), F.col("_best.dice").alias("dice"), pinned(F.col("_found")).alias("notices"))
+    return f.select(F.col("_id").alias(id_col), F.col("_best.licence").alias("licence"), F.col("_best.dice").alias("dice"), pinned(F.col("_found")).alias("notices"), "_passages").withColumnRenamed("_passages", "passages")
+
+
+def notices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice: float = DICE, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """One row per input row: ``id_col, licence, dice, notices``, as ``scan`` gives them but of lines and passages.
+
+    ``notices`` are ordered by line, a line's own before passages that begin there.
+    """
+    f = scan(docs, id_col, text_col, dice, templates)
+    f = f.withColumn("_all", pinned(F.expr("transform(concat(notices, passages), (m, i) -> named_struct('line', m.line, 'nth', i, 'template', m.template, 'licence', m.licence, 'dice', m.dice))")))
+    f = f.withColumn("_all", pinned(F.expr("array_sort(_all)")))
+    f = f.withColumn("_best", pinned(F.expr("get(array_sort(_all, (x, y) -> CASE WHEN x.dice > y.dice THEN -1 WHEN x.dice < y.dice THEN 1 ELSE x.line - y.line END), 0)")))
+    whole = F.expr("transform(_all, m -> named_struct('line', m.line, 'template', m.template, 'licence', m.licence, 'dice', m.dice))")
+    return f.select(id_col, F.col("_best.licence").alias("licence"), F.col("_best.dice").alias("dice"), pinned(whole).alias("notices"))

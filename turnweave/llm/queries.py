@@ -71,7 +71,7 @@ FROM e GROUP BY conv_id
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    found = license_scan.notices(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "licence", "dice", F.size("notices").cast("bigint").alias("n_notices"), F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["line"], n["licence"])), ",").alias("lines"))
 
 
