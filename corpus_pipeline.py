@@ -61,8 +61,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of the documents whose expected tokens have the target mixture."""
-    return mixing.mix(docs).where("mix.sampled").select(*docs.columns)
+    """Documents left out, kept or repeated such that the expected tokens have the target mixture."""
+    mixed = mixing.mix(docs.withColumnRenamed("mix", hidden := _fresh(docs, "mix_")))
+    return mixing.repeated(mixed).withColumnRenamed(hidden, "mix").select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,28 @@ def test_mix(spark, targets):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+def test_one_rare_row_does_not_thin_out_the_rest(spark):
+    rng = random.Random(14)
+    rows = [(i, "x" * rng.randint(600, 3000), rng.choice(["en", "en", "de"]), rng.choice("aab")) for i in range(3000)]
+    docs = lambda more: spark.createDataFrame(rows + more, "doc_id bigint, text string, lang string, source string")
+    kept = {}
+    for more in ([], [(9000, "rare", "en", "once")], [(9000, None, None, None)]):
+        found = mixing.mix(docs(more)).select("doc_id", "source", "mix.*").collect()
+        own = [r for r in found if r.doc_id < 9000]
+        kept[str(more)] = sum(r.sampled for r in own) / len(own)
+        total = sum(r.tokens for r in found)
+        assert abs(sum(r.tokens * r.weight for r in found) - total) < 1e-6 * total
+        assert abs(sum(r.tokens * r.copies for r in found) - total) < 0.03 * total
+        assert all(int(r.weight) <= r.copies <= int(r.weight) + 1 and r.sampled == (r.copies > 0) for r in found)
+        assert all(r.probability == min(1.0, r.weight) for r in found)
+        for r in found:
+            if r.doc_id == 9000:
+                assert r.weight > 2 and r.copies >= 2
+        again = Counter(r.doc_id for r in mixing.repeated(mixing.mix(docs(more))).collect())
+        assert again == {r.doc_id: r.copies for r in found if r.copies}
+    assert min(kept.values()) > 0.9 and max(kept.values()) - min(kept.values()) < 0.02
+
+
 def test_packed_bins(spark):
     rng = random.Random(5)
     rows = [(i, "x" * rng.choice([0, 1, 300, 2000, 9000, 60000]), "k") for i in range(400)] + [(None, None, None), (7, "dup", ""), (7, "dup", "")]

@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are summed by cell (source, language, topic). Cell weights are raked to the targets of each marginal in turn
-until all agree; a document is then sampled with its cell's ratio of fitted to observed tokens, scaled so that the
-greatest ratio is 1. Every document of a cell has the same probability, so the expected tokens are the fitted mixture.
+until all agree; a document then gets as many copies as its cell's ratio of fitted to observed tokens says: the whole
+part for certain, and one more with the remaining probability. Every document of a cell has the same expectation, so
+the expected tokens are the fitted mixture and as many as there were; no cell, however rare, scales the others.
 """
 
 from __future__ import annotations
@@ -101,12 +102,13 @@ def mix(
     seed: int = 11,
     driver_cells: int = DRIVER_CELLS,
 ) -> DataFrame:
-    """The input's columns plus a struct ``mix`` of ``tokens, weight, probability, sampled``.
+    """The input's columns plus a struct ``mix`` of ``tokens, weight, probability, sampled, copies``.
 
     ``axes`` names the marginals (by default source, lang and topic); ``targets`` may give a marginal's shares by value,
     otherwise observed shares are tempered by TEMPER. A null value is a value of its own. ``weight`` is the cell's ratio
-    of fitted to observed tokens, ``probability`` that ratio over the greatest; a row is sampled if the hash of its seed,
-    id and text falls below it, so a row's fate does not depend on partitions, and repeated rows share theirs. An empty
+    of fitted to observed tokens. ``copies`` is its whole part, and one more if the hash of the row's seed, id and text
+    falls below the rest, so a row's fate does not depend on partitions, and repeated rows share theirs. ``sampled``
+    says that there is a copy, ``probability`` how likely that is: the weight, 1 at most. An empty
     table gives an empty result. An input column named ``mix`` is replaced.
     """
     text = F.col(text_col)
@@ -144,7 +146,6 @@ def mix(
             by_axis[column] = cut(sums.select("value", share.alias("share")))
         fitted = _fitted_by_sums(cells, names, by_axis, total)
         ratios = fitted.select(*names, (F.col("w") / F.col("tokens")).alias("weight"))
-    greatest = ratios.agg(F.max("weight")).first()[0] or 1.0
     ratios = ratios.select(*(F.col(n).alias(f"{n}_") for n in names), "weight")
     if n_cells <= driver_cells:
         ratios = F.broadcast(ratios)
@@ -152,5 +153,14 @@ def mix(
     for n in names:
         here = F.col(n).eqNullSafe(F.col(f"{n}_"))
         same = here if same is None else same & here
-    probability = F.col("weight") / greatest
-    return whole.join(ratios, same).select("_row.*", F.struct(F.col("_tokens").alias("tokens"), "weight", probability.alias("probability"), (F.col("_draw") < probability).alias("sampled")).alias("mix"))
+    probability = F.least(F.col("weight"), F.lit(1.0))
+    certain = F.floor("weight")
+    copies = certain + (F.col("_draw") < F.col("weight") - certain).cast("bigint")
+    return whole.join(ratios, same).select("_row.*", F.struct(F.col("_tokens").alias("tokens"), "weight", probability.alias("probability"), (copies > 0).alias("sampled"), copies.alias("copies")).alias("mix"))
+
+
+def repeated(mixed: DataFrame) -> DataFrame:
+    """The rows of ``mix``, each as often as it has copies, without the struct."""
+    keep = [F.col(f"`{c}`") for c in mixed.columns if c != "mix"]
+    n = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix.copies")))
+    return mixed.where("mix.copies > 0").select(*keep, n.alias("_copy")).drop("_copy")
