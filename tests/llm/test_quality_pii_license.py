@@ -177,3 +177,14 @@ def test_licences_across_and_within_lines(spark):
             assert licence in [m.licence for m in r.notices]
     nothing = spark.createDataFrame([(1, None), (None, "plain"), (2, "")], "doc_id bigint, text string")
     assert license_scan.notices(nothing).where("size(notices) = 0 AND licence IS NULL").count() == 3
+
+
+def test_long_secrets_are_whole(spark):
+    secrets = [("ab1-." * 100)[:n] for n in (6, 64, 65, 500)] + [("9f" * 250)[:n] for n in (20, 64, 65, 128, 500)]
+    rows = [(n, f"token={s} and 1") for n, s in enumerate(secrets)] + [(100 + n, f"see {s}, 1") for n, s in enumerate(secrets) if n >= 4]
+    for r in pii.candidates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        kind, start = ("credential", 6) if r.doc_id < 100 else ("key", 4)
+        secret = secrets[r.doc_id % 100]
+        assert [(m.kind, m.start, m.end, m.text) for m in r._more] == [(pii.KINDS.index(kind), start, start + len(secret), secret)], r.text
+    huge = spark.createDataFrame([(1, "token=" + "x1" * 200_000 + " " + "7e" * 200_000)], "doc_id bigint, text string")
+    assert [m.end - m.start for m in pii.candidates(huge).first()._more] == [400_000, 400_000]

@@ -33,8 +33,8 @@ PATTERNS = {
     "ip": ("_plain", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("_spaced", rf"(?<![0-9{_MARK}])(?:[0-9]{_MARK}?){{13,18}}[0-9](?![0-9{_MARK}])"),
     "phone": ("_plain", r"\+[0-9][ ().0-9-]+[0-9]"),
-    "credential": ("_plain", r"""(?<=(?i:password|passwd|secret|token)[=:])[^\x09-\x0D "',;]{6,64}"""),
-    "key": ("_plain", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,64}(?![A-Za-z0-9])"),
+    "credential": ("_plain", r"""(?<=(?i:password|passwd|secret|token)[=:])[^\x09-\x0D "',;]{6,}+"""),
+    "key": ("_plain", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"),
     "id_number": ("_plain", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": ("_plain", r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
