@@ -188,3 +188,9 @@ def test_long_secrets_are_whole(spark):
         assert [(m.kind, m.start, m.end, m.text) for m in r._more] == [(pii.KINDS.index(kind), start, start + len(secret), secret)], r.text
     huge = spark.createDataFrame([(1, "token=" + "x1" * 200_000 + " " + "7e" * 200_000)], "doc_id bigint, text string")
     assert [m.end - m.start for m in pii.candidates(huge).first()._more] == [400_000, 400_000]
+
+
+def test_credentials_without_digits(spark):
+    rows = [(1, "password=correcthorse"), (2, "password=correcthorse 1"), (3, "my Secret:battery, staple"), (4, "no password here"), (5, None)]
+    found = {r.doc_id: [m.text for m in r._more] for r in pii.candidates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {1: ["correcthorse"], 2: ["correcthorse"], 3: ["battery"], 4: [], 5: []}

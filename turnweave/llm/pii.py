@@ -33,7 +33,7 @@ PATTERNS = {
     "ip": ("_plain", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("_spaced", rf"(?<![0-9{_MARK}])(?:[0-9]{_MARK}?){{13,18}}[0-9](?![0-9{_MARK}])"),
     "phone": ("_plain", r"\+[0-9][ ().0-9-]+[0-9]"),
-    "credential": ("_plain", r"""(?<=(?i:password|passwd|secret|token)[=:])[^\x09-\x0D "',;]{6,}+"""),
+    "credential": ("_worded", r"""(?<=(?i:password|passwd|secret|token)[=:])[^\x09-\x0D "',;]{6,}+"""),
     "key": ("_plain", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"),
     "id_number": ("_plain", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "local_phone": ("_plain", r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
@@ -106,10 +106,12 @@ FEATURES = (
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with ``_base`` and ``_more``: valid spans of the base kinds, and candidates of the others.
 
-    Each is an array of (start, kind, end, text, left, right), ordered; null where a text has neither digit nor ``@``.
+    Each is an array of (start, kind, end, text, left, right), ordered. Credentials are looked for in every text, the
+    other kinds, which need a digit or ``@``, in texts that have one.
     """
     plain = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(_MARK), F.lit("\ufffd"))
     f = docs.withColumn("_plain", F.when(plain.rlike("[0-9@]"), plain))
+    f = f.withColumn("_worded", F.when(plain.rlike("(?i)(?:password|passwd|secret|token)[=:]"), plain))
     f = f.withColumn("_dotted", F.when(F.contains("_plain", F.lit("@")), F.regexp_replace("_plain", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _MARK)))
     f = f.withColumn("_spaced", F.regexp_replace("_plain", r"(?<=[0-9])[ -](?=[0-9])", _MARK))
     for kind in KINDS:
@@ -124,7 +126,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     loose = F.concat(*(f"_{k}" for k in KINDS[len(BASE) :]))
     f = f.withColumn("_more", F.array_sort(loose))
     f = f.withColumn("_more", F.expr("filter(_more, m -> NOT exists(_base, b -> m.start < b.end AND b.start < m.end) AND NOT exists(_more, o -> o.kind < m.kind AND m.start < o.end AND o.start < m.end))"))
-    return f.drop("_plain", "_dotted", "_spaced", *(f"_{k}" for k in KINDS), *(f"_{k}_blocks" for k in KINDS))
+    return f.drop("_plain", "_worded", "_dotted", "_spaced", *(f"_{k}" for k in KINDS), *(f"_{k}_blocks" for k in KINDS))
 
 
 def votes(found: DataFrame) -> DataFrame:
