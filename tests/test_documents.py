@@ -4,9 +4,10 @@ import sys
 import pytest
 
 from turnweave import cli
+from turnweave.plans import batch
 from turnweave.plans.transcripts import plain
 from turnweave.sources import documents
-from turnweave.sources.backends import ExternalTool, find_tool
+from turnweave.sources.backends import ExternalTool, JsonFolder, find_tool
 from turnweave.sources.sinks import write_partitioned, write_single
 
 GOOD = {"segments": [{"start": 0, "end": 15.5, "text": " one\n", "id": 3}, {"start": 15.5, "end": 17, "text": "two"}], "language": "ko"}
@@ -66,17 +67,71 @@ def test_sinks(spark, tmp_path):
     all_of_them = spark.createDataFrame([("a",), ("b",), ("silent",)], "rec string")
     write_partitioned(lines, str(tmp_path / "out"), all_of_them)
     read = lambda rec: "".join(p.read_text() for p in sorted((tmp_path / "out" / f"rec={rec}").glob("part-*")))
-    assert read("a") == "first\nstill first\nsecond\n" and read("silent").strip() == ""
+    assert read("a") == "first\nstill first\nsecond\n" and read("silent") == ""
+    assert len(list((tmp_path / "out" / "rec=silent").glob("part-*"))) == 1
     write_single(lines.where("false"), str(tmp_path / "empty.txt"))
     assert (tmp_path / "empty.txt").read_bytes() == b""
 
 
-def test_external_tool(spark, tmp_path):
-    tool = tmp_path / "tool.py"
-    tool.write_text(f"#!{sys.executable}\nimport sys, os, json\nstem = os.path.splitext(os.path.basename(sys.argv[-1]))[0]\njson.dump({GOOD!r}, open(os.path.join(sys.argv[-2], stem + '.json'), 'w'))\n")
+def counting_tool(folder, doc):
+    """A tool that leaves ``doc`` and a file per run."""
+    runs = folder / "runs"
+    runs.mkdir()
+    tool = folder / "tool.py"
+    tool.write_text(
+        f"#!{sys.executable}\nimport sys, os, json, uuid\nstem = os.path.splitext(os.path.basename(sys.argv[-1]))[0]\n"
+        f"open(os.path.join({str(runs)!r}, stem + '-' + uuid.uuid4().hex), 'w').close()\njson.dump({doc!r}, open(os.path.join(sys.argv[-2], stem + '.json'), 'w'))\n"
+    )
     tool.chmod(0o755)
+    return tool, lambda: sorted(p.name.split("-")[0] for p in runs.iterdir())
+
+
+def test_external_tool(spark, tmp_path):
+    tool, _ = counting_tool(tmp_path, GOOD)
     one = spark.createDataFrame([("a", "/x/a.m4a")], "rec string, path string")
     found = ExternalTool(find_tool("nothing", [str(tool)])).documents(spark, one)
     assert documents.segments(found).count() == 2
     with pytest.raises(FileNotFoundError):
         find_tool("no-such-tool-anywhere")
+
+
+def test_tools_run_once_per_recording(spark, tmp_path, monkeypatch):
+    """Checks, sorts and sinks read what the tool left, they do not run it again."""
+    for name, doc in (("speech", GOOD), ("speakers", TURNS)):
+        (tmp_path / name).mkdir()
+    speech, speech_runs = counting_tool(tmp_path / "speech", GOOD)
+    speakers, speaker_runs = counting_tool(tmp_path / "speakers", TURNS)
+    monkeypatch.setattr(cli, "speech_tool", lambda: ExternalTool(str(speech)))
+    monkeypatch.setattr(cli, "speaker_tool", lambda token: ExternalTool(str(speakers)))
+    path = cli.main([str(tmp_path / "m.m4a"), "-o", str(tmp_path)], spark)
+    assert speech_runs() == ["m"] and open(path).read() == "00:00 one\n00:15 two\n"
+    cli.main([str(tmp_path / "m.m4a"), "--diarize", "--hf-token", "t", "-o", str(tmp_path)], spark)
+    assert speech_runs() == ["m", "m"] and speaker_runs() == ["m"]
+    assert open(path).read() == "[SPEAKER_01] 00:00 one\n[UNKNOWN] 00:15 two\n"
+    many = spark.createDataFrame([(f"r{n}", f"/x/r{n}.m4a") for n in range(5)], "rec string, path string")
+    batch.transcribe(spark, many, str(tmp_path / "out"), ExternalTool(str(speech)), ExternalTool(str(speakers)))
+    assert speech_runs()[2:] == speaker_runs()[1:] == [f"r{n}" for n in range(5)]
+    assert len(list((tmp_path / "out").glob("rec=r*/part-*"))) == 5
+
+
+def test_batch_refuses_what_it_cannot_tell_apart(spark, tmp_path):
+    (tmp_path / "j").mkdir()
+    (tmp_path / "j" / "a.json").write_text(json.dumps(GOOD))
+    frame = lambda *rows: spark.createDataFrame(rows, "rec string, path string")
+    with pytest.raises(ValueError, match="more than one recording"):
+        batch.lines(spark, frame(("a", "/x/a.m4a"), ("a", "/y/a.wav")), JsonFolder(str(tmp_path / "j")))
+    with pytest.raises(FileNotFoundError, match="b"):
+        batch.lines(spark, frame(("a", "/x/a.m4a"), ("b", "/x/b.m4a")), JsonFolder(str(tmp_path / "j")))
+    silent = spark.createDataFrame([("s", "/x/s.m4a")], "rec string, path string")
+    (tmp_path / "j" / "s.json").write_text('{"segments": []}')
+    batch.transcribe(spark, silent, str(tmp_path / "o"), JsonFolder(str(tmp_path / "j")))
+    assert [p.read_bytes() for p in (tmp_path / "o" / "rec=s").glob("part-*")] == [b""]
+
+
+def test_recordings_and_folders(spark, tmp_path):
+    for name in ("a b+.m4a", "c%d.m4a"):
+        (tmp_path / name).write_bytes(b"12345")
+    found = documents.recordings(spark, str(tmp_path / "*.m4a"))
+    assert sorted((r.rec, r.length) for r in found.collect()) == [("a b+", 5), ("c%d", 5)]
+    spark.createDataFrame([("007", json.dumps(GOOD)), ("x y", json.dumps(GOOD))], "rec string, json string").repartition(1).write.partitionBy("rec").text(str(tmp_path / "docs"))
+    assert sorted(r.rec for r in documents.raw_documents(spark, str(tmp_path / "docs"), by_folder=True).collect()) == ["007", "x y"]

@@ -14,9 +14,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions.scalars import stem
-from turnweave.plans.transcripts import transcript
-from turnweave.sources import documents
-from turnweave.sources.backends import MODEL, TRANSCRIPTION_OPTIONS, Backend, ExternalTool, JsonFolder, find_tool
+from turnweave.plans import batch
+from turnweave.sources.backends import Backend, JsonFolder, speaker_tool, speech_tool
 from turnweave.sources.sinks import write_single
 
 log = logging.getLogger("turnweave")
@@ -43,22 +42,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     name = os.path.basename(args.audio)
     one = spark.createDataFrame([(name, args.audio)], "name string, path string").select(stem(F.col("name")).alias("rec"), "path")
     rec = one.first()["rec"]
-
-    def read(backend: Backend) -> documents.DataFrame:
-        found = backend.documents(spark, one)
-        documents.check_recordings(found, [rec])
-        return found
-
     log.info("transcribing %s", name)
-    speech: Backend = JsonFolder(args.json_dir) if args.json_dir else ExternalTool(find_tool("mlx_whisper", ["~/Library/Python/3.9/bin/mlx_whisper"]), ("--model", MODEL, *TRANSCRIPTION_OPTIONS))
-    segments = documents.segments(read(speech))
-    turns = None
+    speech: Backend = JsonFolder(args.json_dir) if args.json_dir else speech_tool()
+    speakers: Backend | None = None
     if args.diarize:
         log.info("finding the speakers of %s", name)
-        speakers: Backend = JsonFolder(args.turns_dir) if args.turns_dir else ExternalTool(find_tool("whispermlx"), ("--model", MODEL, "--diarize"), "--output_dir", {"HF_TOKEN": args.hf_token})
-        turns = documents.turns(read(speakers))
+        speakers = JsonFolder(args.turns_dir) if args.turns_dir else speaker_tool(args.hf_token)
+    lines = batch.lines(spark, one, speech, speakers)
     path = os.path.join(args.output_dir, f"{rec}.txt")
-    write_single(transcript(segments, turns), path)
+    write_single(lines, path)
     log.info("wrote %s", path)
     return path
 

@@ -6,13 +6,18 @@ long as its text, and speakers' turns are segments shifted, left out and relabel
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions import scalars
 from turnweave.operators import overlap
-from turnweave.plans import transcripts
+from turnweave.plans import batch, transcripts
 from turnweave.sources import documents
+from turnweave.sources.backends import ExternalTool, find_tool
+from turnweave.sources.sinks import write_partitioned
+from turnweave.sources.storage import shared_folder
 
 _SEGMENTS = """SELECT conv_id AS rec, turn AS pos,
   (SUM(d) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - d AS st,
@@ -100,6 +105,79 @@ def transcript_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec", "pos", line.alias("line"))
 
 
+def transcript_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both outcomes of the choice between plain and labelled lines."""
+    segments, turns = _tables(spark, sf_dir)
+    without, with_turns = transcripts.transcript(segments), transcripts.transcript(segments, turns)
+    return without.withColumn("labelled", F.lit(False)).union(with_turns.withColumn("labelled", F.lit(True)))
+
+
+def _documents(frame: DataFrame, *fields: str) -> DataFrame:
+    """Rows ``rec, pos, ...`` as one JSON document per recording."""
+    nested = frame.groupBy(F.col("rec").cast("string").alias("rec")).agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("segments"))
+    bare = F.transform("segments", lambda s: F.struct(*(s[f].alias(f) for f in fields)))
+    return nested.select("rec", F.to_json(F.struct(bare.alias("segments"))).alias("json"))
+
+
+def _left_by_a_tool(docs: DataFrame) -> str:
+    """The folder below which each document is a file."""
+    folder = shared_folder(docs.sparkSession)
+    docs.repartition("rec").write.partitionBy("rec").text(folder)
+    return folder
+
+
+def _numbered(flat: DataFrame) -> DataFrame:
+    return _back(flat).withColumns({"rec": F.col("rec").cast("bigint"), "pos": F.col("pos").cast("bigint")})
+
+
+def documents_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcription files, a document each, read from a folder and unnested."""
+    segments, _ = _tables(spark, sf_dir)
+    folder = _left_by_a_tool(_documents(segments, "start", "end", "text"))
+    return _numbered(documents.segments(documents.raw_documents(spark, folder, by_folder=True)))
+
+
+def turns_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diarization files, some without ``segments`` and some turns without a speaker."""
+    _, turns = _tables(spark, sf_dir)
+    turns = turns.withColumn("speaker", F.when((F.col("rec") + F.col("pos")) % 5 != 0, F.col("speaker")))
+    docs = _documents(turns, "start", "end", "speaker")
+    docs = docs.withColumn("json", F.when(F.col("rec").cast("bigint") % 6 == 0, "{}").otherwise(F.col("json")))
+    return _numbered(documents.turns(documents.raw_documents(spark, _left_by_a_tool(docs), by_folder=True)))
+
+
+def recordings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the tables' folder as recordings: stems, and paths put together again."""
+    found = documents.recordings(spark, f"{sf_dir}/*.parquet")
+    whole = F.concat(F.regexp_replace("path", "[^/]*$", ""), "rec", F.lit(".parquet"))
+    return found.select("rec", (F.col("length") > 0).alias("has_content"), (whole == F.col("path")).alias("path_is_whole"))
+
+
+#: Stands for a speech tool: writes STEM.json with one segment, whose text is the stem.
+_TOOL = "import json, os, sys; stem = os.path.splitext(os.path.basename(sys.argv[-1]))[0]; json.dump({'segments': [{'start': 0, 'end': len(stem) / 2, 'text': ' ' + stem + ' ', 'speaker': 'S' + stem[-1]}]}, open(os.path.join(sys.argv[-2], stem + '.json'), 'w'))"
+
+
+def tool_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool run over recordings for speech and again for speakers, and the labelled lines; one recording a conversation."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    rec = F.col("conv_id").cast("string")
+    recordings = conversations.select(rec.alias("rec"), F.concat(F.lit("/recordings/"), rec, F.lit(".m4a")).alias("path")).distinct()
+    tool = ExternalTool(find_tool("python3", [sys.executable]), ("-c", _TOOL))
+    return batch.lines(spark, recordings, tool, tool)
+
+
+def sink_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sink has written, file by file; some recordings are silent, and Spark's readers pass empty files over."""
+    segments, _ = _tables(spark, sf_dir)
+    recordings = segments.select(F.col("rec").cast("string").alias("rec")).distinct()
+    lines = transcripts.plain(segments.where("rec % 7 <> 0")).withColumn("rec", F.col("rec").cast("string"))
+    folder = shared_folder(spark)
+    write_partitioned(lines, folder, recordings)
+    files = spark.read.format("binaryFile").load(folder)
+    written = files.select(F.regexp_extract("path", "/rec=([^/]*)/", 1).alias("rec"), F.col("content").cast("string").alias("content"))
+    return recordings.join(written, "rec", "left").select(F.col("rec").cast("bigint").alias("rec"), F.coalesce("content", F.lit("")).alias("content"))
+
+
 _NAMES = ("a.m4a", "a.b.m4a", ".m4a", "..b", "a..b", "a.", ".a.b", "noext", "회의 1.m4a", "a.tar.gz")
 
 
@@ -119,9 +197,18 @@ QUERIES = {
     "speaker_assign_binned": speaker_assign_binned,
     "transcript_plain": transcript_plain,
     "transcript_labelled": transcript_labelled,
+    "transcript_chosen": transcript_chosen,
+    "documents_scan": documents_scan,
+    "turns_scan": turns_scan,
+    "recordings_scan": recordings_scan,
+    "tool_transcripts": tool_transcripts,
+    "sink_partitioned": sink_partitioned,
     "file_stem": file_stem,
 }
 
+#: Tables of the driver's folders, in which each is one file.
+TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
 _WITH = f"WITH segments AS ({_SEGMENTS}), turns AS ({_TURNS})"
 _N = "CAST(trunc({s}) AS BIGINT)"
 _SHIFTED = "st + (rec % 3) * CAST(3500 AS DOUBLE)"
@@ -135,6 +222,7 @@ def _time_sql(seconds: str) -> str:
 
 _CHARS = " || ".join(f"chr({ord(c)})" for c in scalars.WHITE_SPACE)
 _STRIPPED = f"trim(chr(32) || chr(12288) || chr(10) || text || chr(9) || chr(28) || chr(32), {_CHARS})"
+_TEXT = f"trim(text, {_CHARS})"
 _ASSIGNED = """SELECT rec, pos, st, en, text, speaker FROM (
   SELECT g.rec, g.pos, g.st, g.en, g.text, CASE WHEN t.pos IS NULL THEN 'UNKNOWN' ELSE t.speaker END AS speaker,
     ROW_NUMBER() OVER (PARTITION BY g.rec, g.pos ORDER BY LEAST(g.en, t.en) - GREATEST(g.st, t.st) DESC NULLS LAST, t.pos ASC) AS rn
@@ -154,5 +242,12 @@ FROM segments g JOIN turns t ON g.rec = t.rec AND g.st < t.en AND t.st < g.en AN
     "speaker_assign_binned": _SPEAKERS,
     "transcript_plain": f"{_WITH} SELECT rec, pos, {_time_sql(_SHIFTED)} || ' ' || {_STRIPPED} AS line FROM segments",
     "transcript_labelled": f"{_WITH} SELECT rec, pos, '[' || speaker || '] ' || {_time_sql(_SHIFTED)} || ' ' || {_STRIPPED} AS line FROM ({_ASSIGNED})",
+    "transcript_chosen": f"""{_WITH} SELECT rec, pos, {_time_sql("st")} || ' ' || {_TEXT} AS line, false AS labelled FROM segments
+UNION ALL SELECT rec, pos, '[' || speaker || '] ' || {_time_sql("st")} || ' ' || {_TEXT}, true FROM ({_ASSIGNED})""",
+    "documents_scan": _UNNESTED,
+    "turns_scan": f"{_WITH} SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS pos, st, en, CASE WHEN (rec + pos) % 5 <> 0 THEN speaker ELSE 'UNKNOWN' END AS speaker FROM turns WHERE rec % 6 <> 0",
+    "recordings_scan": "SELECT unnest([" + ", ".join(f"'{t}'" for t in TABLES) + "]) AS rec, true AS has_content, true AS path_is_whole",
+    "tool_transcripts": "SELECT rec, 0 AS pos, '[S' || right(rec, 1) || '] 00:00 ' || rec AS line FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS rec FROM conversations)",
+    "sink_partitioned": f"""{_WITH} SELECT rec, CASE WHEN rec % 7 = 0 THEN '' ELSE string_agg({_time_sql("st")} || ' ' || {_TEXT} || chr(10), '' ORDER BY pos) END AS content FROM segments GROUP BY rec""",
     "file_stem": "SELECT name, regexp_replace(name, '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS stem FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS name)",
 }

@@ -18,10 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from turnweave.sources.documents import raw_documents
+from turnweave.sources.storage import written_once
 
-#: Settings of the transcription, fixed values: they keep the model from inventing repeated text in silence.
-TRANSCRIPTION_OPTIONS = ("--condition-on-previous-text", "False", "--hallucination-silence-threshold", "1", "-f", "json")
+#: The model of both tools; the settings of the transcription, which keep it from inventing repeated text
+#: in silence; the tools' names; where the first may be besides PATH.
 MODEL = "mlx-community/whisper-large-v3-turbo"
+TRANSCRIPTION_OPTIONS = ("--condition-on-previous-text", "False", "--hallucination-silence-threshold", "1", "-f", "json")
+SPEECH_TOOL, SPEAKER_TOOL = "mlx_whisper", "whispermlx"
+SPEECH_TOOL_PATH = "~/Library/Python/3.9/bin/mlx_whisper"
+#: Tasks over which an external tool's recordings are spread at most.
+TASKS = 1000
 
 
 class Backend(Protocol):
@@ -41,17 +47,22 @@ def find_tool(name: str, known: Iterable[str] = ()) -> str:
 
 @dataclass
 class JsonFolder:
-    """Documents that a tool has left, named after their recordings."""
+    """Documents that a tool has left, named after their recordings, or in folders ``rec=NAME``."""
 
     folder: str
+    by_folder: bool = False
 
     def documents(self, spark: SparkSession, recordings: DataFrame) -> DataFrame:
-        return raw_documents(spark, self.folder).join(recordings.select("rec"), "rec", "left_semi")
+        return raw_documents(spark, self.folder, self.by_folder).join(recordings.select("rec"), "rec", "left_semi")
 
 
 @dataclass
 class ExternalTool:
-    """A command that writes ``STEM.json`` into the folder after ``folder_option``; a failure stops the job."""
+    """A command that writes ``STEM.json`` into the folder after ``folder_option``; a failure stops the job.
+
+    The documents are written to the shared folder at once, so the tool runs once per recording, whatever reads them and
+    however often. Recordings are spread over many tasks, and only those of a lost task run again.
+    """
 
     command: str
     options: tuple[str, ...] = ()
@@ -68,4 +79,13 @@ class ExternalTool:
                         with open(os.path.join(scratch, f"{rec}.json"), encoding="utf-8") as found:
                             yield pd.DataFrame({"rec": [rec], "json": [found.read()]})
 
-        return recordings.select("rec", "path").mapInPandas(run, "rec string, json string")
+        apart = recordings.select("rec", "path").repartitionByRange(TASKS, "rec")
+        return written_once(apart.mapInPandas(run, "rec string, json string"))
+
+
+def speech_tool() -> ExternalTool:
+    return ExternalTool(find_tool(SPEECH_TOOL, [SPEECH_TOOL_PATH]), ("--model", MODEL, *TRANSCRIPTION_OPTIONS))
+
+
+def speaker_tool(token: str) -> ExternalTool:
+    return ExternalTool(find_tool(SPEAKER_TOOL), ("--model", MODEL, "--diarize"), "--output_dir", {"HF_TOKEN": token})

@@ -19,18 +19,36 @@ def recordings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return files.select(stem(decoded_name(F.col("_metadata.file_name"))).alias("rec"), "path", "length")
 
 
-def raw_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``rec, json`` of the files at the paths, in UTF-8."""
+def raw_documents(spark: SparkSession, paths: str | list[str], by_folder: bool = False) -> DataFrame:
+    """``rec, json`` of the files at the paths, in UTF-8.
+
+    A file's stem names its recording; with ``by_folder`` its folder ``rec=NAME`` does, as Spark's writers leave it.
+    """
+    if by_folder:
+        return spark.read.schema("value string, rec string").text(paths, wholetext=True).select("rec", F.col("value").alias("json"))
     files = spark.read.text(paths, wholetext=True)
     return files.select(stem(decoded_name(F.col("_metadata.file_name"))).alias("rec"), F.col("value").alias("json"))
 
 
-def check_recordings(found: DataFrame, wanted: list[str]) -> None:
-    """Fail if a recording that was asked for is missing, as files whose names start with _ or . are, or is there twice."""
-    counts = {r["rec"]: r["n"] for r in found.where(F.col("rec").isin(wanted)).groupBy("rec").agg(F.count("*").alias("n")).collect()}
-    if missing := sorted(set(wanted) - set(counts)):
+#: Recordings that an error names.
+_NAMED = 20
+
+
+def check_stems(recordings: DataFrame) -> None:
+    """Fail if two recordings share a stem: one's transcript would replace the other's."""
+    twice = recordings.groupBy("rec").agg(F.count("*").alias("n")).where("n > 1")
+    if names := [r["rec"] for r in twice.orderBy("rec").limit(_NAMED).collect()]:
+        raise ValueError(f"more than one recording is named {', '.join(names)}")
+
+
+def check_recordings(found: DataFrame, recordings: DataFrame) -> None:
+    """Fail if a recording (``rec``) that was asked for is missing, as files whose names start with _ or . are, or is
+    there twice."""
+    counts = found.groupBy("rec").agg(F.count("*").alias("n"))
+    wrong = recordings.select("rec").distinct().join(counts, "rec", "left").where("n IS NULL OR n > 1").orderBy("rec").limit(_NAMED).collect()
+    if missing := [r["rec"] for r in wrong if r["n"] is None]:
         raise FileNotFoundError(f"no document for {', '.join(missing)}")
-    if twice := sorted(k for k, n in counts.items() if n > 1):
+    if twice := [r["rec"] for r in wrong if r["n"]]:
         raise ValueError(f"more than one document for {', '.join(twice)}")
 
 

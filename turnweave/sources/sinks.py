@@ -5,20 +5,21 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from turnweave.sources.storage import create_empty
 
 
 def write_partitioned(lines: DataFrame, folder: str, recordings: DataFrame | None = None) -> None:
     """A folder ``rec=...`` per recording, whose lines are in one ordered file.
 
-    With ``recordings`` (``rec``), those without lines get an empty line file too. Recordings are dealt by ``rec``: one
-    file is written by one task, whatever else that task writes.
+    With ``recordings`` (``rec``), those without lines get an empty file. Recordings are dealt by ``rec``: one file is
+    written by one task, whatever else that task writes.
     """
-    if recordings is not None:
-        silent = recordings.select("rec").distinct().join(lines.select("rec").distinct(), "rec", "left_anti")
-        lines = lines.select("rec", "pos", "line").union(silent.select("rec", F.lit(0), F.lit("")))
     ordered = lines.repartition("rec").sortWithinPartitions("rec", "pos")
     ordered.select("rec", "line").write.mode("overwrite").partitionBy("rec").text(folder)
+    if recordings is not None:
+        silent = recordings.select("rec").distinct().join(lines.select("rec").distinct(), "rec", "left_anti")
+        create_empty(lines.sparkSession, folder, silent)
 
 
 def write_single(lines: DataFrame, path: str) -> None:
