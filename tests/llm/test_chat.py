@@ -1,5 +1,7 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
 
 from turnweave.llm import chat
 
@@ -41,6 +43,31 @@ def test_round_trip_and_mask(spark):
             assert r.formatted[span.start - 11 : span.start] == "assistant>\n" and r.formatted[span.end :].startswith(chat.TERMINATOR)
 
 
+@pytest.mark.parametrize("wrong", ["shifted", "short", "missing", "twice", "disordered", "other"])
+def test_wrong_masks_fail(spark, wrong):
+    rows = [(1, m, "assistant" if m % 2 else "user", f"text <turn {m}> é") for m in range(6)]
+    rendered = chat.render(spark.createDataFrame(rows, "conv_id bigint, message bigint, role string, text string"))
+    span = lambda by, end: f"transform(loss_spans, s -> named_struct('turn', s.turn, 'start', s.start + {by}, 'end', s.end + {end}))"
+    masks = {
+        "shifted": span(-9, -9),
+        "short": span(0, -1),
+        "missing": "slice(loss_spans, 1, 2)",
+        "twice": "concat(loss_spans, slice(loss_spans, 3, 1))",
+        "disordered": "reverse(loss_spans)",
+        "other": "transform(loss_spans, s -> named_struct('turn', s.turn - 1, 'start', s.start, 'end', s.end))",
+    }
+    assert chat.read_back(rendered).first().loss_text == "".join(t for _, _, r, t in rows if r == "assistant")
+    with pytest.raises(Exception, match="loss mask"):
+        chat.read_back(rendered.withColumn("loss_spans", F.expr(masks[wrong]))).collect()
+
+
+def test_long_conversation(spark):
+    rows = [(1, m, "assistant" if m % 2 else "user", "é" * (m % 7)) for m in range(3000)]
+    rendered = chat.render(spark.createDataFrame(rows, "conv_id bigint, message bigint, role string, text string"))
+    back = chat.read_back(rendered).first()
+    assert back.loss_text == "".join(r[3] for r in rows if r[2] == "assistant") and len(back.turns) == 3000
+
+
 def test_no_events(spark):
     assert chat.read_back(chat.render(chat.reconstruct(spark.createDataFrame([], EVENTS)))).count() == 0
 

@@ -17,9 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.llm._session import pinned
+
 TERMINATOR = "</turn>\n"
 #: Kinds of events that replace all that came before in a message.
 RESETS = ("edit", "regenerate", "delete")
+LEARN_FROM = ("assistant",)
+_HEAD = "<turn "
+#: Turns whose lengths are summed at once.
+_BLOCK = 128
 
 
 def escape(text: Column) -> Column:
@@ -43,8 +49,8 @@ def reconstruct(events: DataFrame) -> DataFrame:
 
     A null text counts as empty, a null role as empty, a null kind as ``delta``; null conversations, messages and
     sequence numbers are values of their own, nulls first. Equal sequence numbers within a message are taken in order of
-    kind, role and text. The role is that of the message's last event that counts. One shuffle by (conv_id, message): a
-    conversation of any length is folded by many tasks.
+    kind, role and text. The role is that of the message's last event that counts. ``message`` may be of any type that
+    has an order. One shuffle by (conv_id, message): a conversation of any length is folded by many tasks.
     """
     e = events.select("conv_id", "message", "seq", F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = F.struct("seq", "kind", "role", "text")
@@ -59,14 +65,14 @@ def reconstruct(events: DataFrame) -> DataFrame:
     )
 
 
-def render(messages: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) -> DataFrame:
+def render(messages: DataFrame, learn_from: tuple[str, ...] = LEARN_FROM) -> DataFrame:
     """One row per conversation: ``conv_id, formatted, loss_spans``.
 
     ``loss_spans`` are (turn, start, end) of the texts in ``formatted`` that are learned from, those of ``learn_from``
     roles, in order: the turn's number from 1 and code points, end exclusive. Messages are ordered by ``message``, then
     role and text. A conversation becomes one value, so it must fit a row, as any training example must.
     """
-    head = F.concat(F.lit("<turn "), _escape_role(F.col("role")), F.lit(">\n"))
+    head = F.concat(F.lit(_HEAD), _escape_role(F.col("role")), F.lit(">\n"))
     m = messages.select("conv_id", "message", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"))
     m = m.withColumn("turn", F.concat("head", "body", F.lit(TERMINATOR)))
     in_order = Window.partitionBy("conv_id").orderBy("message", "role", "text")
@@ -81,19 +87,27 @@ def render(messages: DataFrame, learn_from: tuple[str, ...] = ("assistant",)) ->
     )
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """``conv_id, turns, loss_text`` out of a rendering.
+def read_back(formatted: DataFrame, learn_from: tuple[str, ...] = LEARN_FROM) -> DataFrame:
+    """``conv_id, formatted, turns, loss_text`` out of a rendering.
 
-    ``turns`` (role, text) are parsed from ``formatted`` alone. ``loss_text`` is what lies under ``loss_spans``,
-    unescaped; a span that is not as long as its turn's text raises an error.
+    ``turns`` (role, text) are parsed from ``formatted`` alone. ``loss_text`` is what lies in ``formatted`` under
+    ``loss_spans``, cut out by their places and unescaped. The mask is checked against what was parsed: an error is
+    raised unless it has one span for each turn of a ``learn_from`` role, in order, that begins and ends where the turn's
+    text does.
     """
-    f = formatted.withColumn("_blocks", F.split("formatted", TERMINATOR, -1))
-    f = f.withColumn("_parts", F.expr("transform(slice(_blocks, 1, size(_blocks) - 1), b -> split(b, '>\\n', 2))"))
-    turns = F.transform("_parts", lambda p: F.struct(_unescape_role(F.substr(p[0], F.lit(len("<turn ") + 1))).alias("role"), unescape(p[1]).alias("text")))
-    learned = F.transform(
-        "loss_spans",
-        lambda s: F.when(
-            F.char_length(F.get(F.col("_parts"), s["turn"] - 1)[1]) == s["end"] - s["start"], unescape(F.get(F.col("_parts"), s["turn"] - 1)[1])
-        ).otherwise(F.raise_error(F.lit("a loss span does not fit its turn"))),
-    )
-    return f.select("conv_id", "formatted", turns.alias("turns"), F.array_join(learned, "").alias("loss_text"))
+    f = formatted.withColumn("_turns", pinned(F.split("formatted", TERMINATOR, -1)))
+    f = f.withColumn("_turns", pinned(F.expr("slice(_turns, 1, size(_turns) - 1)")))
+    f = f.withColumn("_parts", pinned(F.expr("transform(_turns, t -> split(t, '>\\n', 2))")))
+    f = f.withColumn("_roles", pinned(F.transform("_parts", lambda p: _unescape_role(F.substr(p[0], F.lit(len(_HEAD) + 1))))))
+    turns = F.transform("_parts", lambda p, i: F.struct(F.get("_roles", i).alias("role"), unescape(p[1]).alias("text")))
+    # where a turn begins: the lengths of whole blocks of turns before it, then of those before it in its own block
+    length, whole = f"(a, t) -> a + char_length(t) + {len(TERMINATOR)}", f"cast(size(_turns) AS int) div {_BLOCK}"
+    f = f.withColumn("_blocks", pinned(F.expr(f"CASE WHEN {whole} = 0 THEN cast(array() AS array<bigint>) ELSE transform(sequence(1, cast({whole} AS int)), b -> aggregate(slice(_turns, (b - 1) * {_BLOCK} + 1, {_BLOCK}), 0L, {length})) END")))
+    begin = f"aggregate(slice(_blocks, 1, cast((s.turn - 1) div {_BLOCK} AS int)), 0L, (a, x) -> a + x) + aggregate(slice(_turns, cast((s.turn - 1) div {_BLOCK} AS int) * {_BLOCK} + 1, cast((s.turn - 1) % {_BLOCK} AS int)), 0L, {length})"
+    f = f.withColumn("_learned", pinned(F.expr(f"transform(loss_spans, s -> named_struct('turn', cast(s.turn AS int), 'from', s.start - ({begin}), 'length', s.end - s.start))")))
+    wanted = ", ".join("'" + r.replace("\\", "\\\\").replace("'", "\\'") + "'" for r in learn_from)
+    of_roles = F.expr(f"filter(transform(_roles, (r, i) -> IF(r IN ({wanted}), i + 1, 0)), n -> n > 0)") if learn_from else F.expr("cast(array() AS array<int>)")
+    right = F.expr(f"forall(_learned, s -> s.from = char_length(get(_parts, s.turn - 1)[0]) + {len('>') + 1} AND s.from + s.length = char_length(get(_turns, s.turn - 1)))")
+    mask = F.when((F.col("_learned.turn") == of_roles) & right, F.expr("transform(_learned, s -> substr(get(_turns, s.turn - 1), cast(s.from AS int) + 1, cast(s.length AS int)))"))
+    cut = F.coalesce(mask, F.raise_error(F.lit("the loss mask does not cover the texts that are learned from")).cast("array<string>"))
+    return f.select("conv_id", "formatted", turns.alias("turns"), F.array_join(F.transform(cut, unescape), "").alias("loss_text"))
