@@ -30,7 +30,8 @@ def test_measurements(spark):
     rows = [(n, t, 1, "x") for n, t in enumerate(texts())]
     found = quality.ledger(spark.createDataFrame(rows, SCHEMA)).collect()
     for r in found:
-        m = r.ledger
+        m = r.ledger_  # the table has a column ledger of its own
+        assert r.ledger == 1
         assert (m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words) == measured(r.text), r.text
         assert bool(m.fail_bits & quality.BASE_MASK) == (m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words)
     assert quality.ledger(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -40,9 +41,9 @@ def test_policies_and_ablations(spark):
     prose = " ".join(f"word{n}" for n in range(60))
     rows = [(1, prose, 0, ""), (2, "short", 0, ""), (3, prose + " |" * 40, 0, ""), (4, "% " * 60, 0, "")]
     ledgered = quality.ledger(spark.createDataFrame(rows, SCHEMA))
-    assert [r.doc_id for r in quality.apply_policy(ledgered, "v1").collect()] == [1]
-    assert quality.apply_policy(ledgered, "base").columns == ["doc_id", "text", "mix"]
-    by_rule = {r.rule: (r.failed, r.only_this, r.rows, r.rejected) for r in quality.ablations(ledgered, "v1").collect()}
+    assert [r.doc_id for r in quality.apply_policy(ledgered, "v1", "ledger_").collect()] == [1]
+    assert quality.apply_policy(ledgered, "base", "ledger_").columns == ["doc_id", "text", "ledger", "mix"]
+    by_rule = {r.rule: (r.failed, r.only_this, r.rows, r.rejected) for r in quality.ablations(ledgered, "v1", "ledger_").collect()}
     assert by_rule["few_words"] == (1, 1, 4, 3) and by_rule["symbols"][0] == 2
 
 
@@ -194,3 +195,57 @@ def test_credentials_without_digits(spark):
     rows = [(1, "password=correcthorse"), (2, "password=correcthorse 1"), (3, "my Secret:battery, staple"), (4, "no password here"), (5, None)]
     found = {r.doc_id: [m.text for m in r._more] for r in pii.candidates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert found == {1: ["correcthorse"], 2: ["correcthorse"], 3: ["battery"], 4: [], 5: []}
+
+
+def test_a_labeler_may_be_worse_than_a_coin():
+    rng, patterns = random.Random(3), Counter()
+    for _ in range(6000):
+        true = rng.random() < 0.5
+        patterns[tuple(int(true if rng.random() < p else not true) for p in (0.9, 0.9, 0.85, 0.2))] += 1
+    _, rates, _ = pii.fit_labelers([(list(k), n) for k, n in sorted(patterns.items())])
+    assert rates[3][0] < 0.35 and rates[3][1] > 0.65
+
+
+def test_classifier_accepts_and_refuses(spark):
+    """Planted secrets, numbers and telephones among long words, counts and other numbers; expected spans by hand."""
+    rng = random.Random(11)
+    hexed = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    word = lambda n: "".join(rng.choices("aeinorst", k=n))
+    number = lambda n: rng.choice("123456789") + "".join(rng.choices("0123456789", k=n - 1))
+    true = [
+        lambda: ("credential", 'token = "', hexed(40), '"'), lambda: ("credential", "password: ", f"{word(5)}-{number(3)}", " "),
+        lambda: ("id_number", "ssn ", f"{rng.randint(101, 599)}-{rng.randint(10, 99)}-{number(4)}", " "),
+        lambda: ("key", "the key ", hexed(32), " "), lambda: ("local_phone", "call ", f"(2{number(2)}) 5{number(2)}-{number(4)}", " "),
+    ]
+    decoy = [
+        lambda: ("key", "such ", word(rng.randint(20, 30)), " "), lambda: ("id_number", "of ", number(rng.choice([9, 10, 12])), " "),
+        lambda: ("credential", "password = ", "changeme", " "),
+    ]
+    rows, wanted, refused = [], {}, {}
+    for n in range(600):
+        text, spans = "", []
+        for make in rng.choices(true, k=rng.randint(0, 2)) + rng.choices(decoy, k=rng.randint(0, 3)):
+            kind, before, span, after = make()
+            text += f"{word(4)} {before}"
+            (spans if make in true else refused.setdefault(n, [])).append((len(text), kind, len(text) + len(span)))
+            text += span + after
+        rows.append((n, text))
+        wanted[n] = spans
+    found = {r.doc_id: [(s.start, pii.KINDS[s.kind], s.end) for s in r.spans if s.kind >= len(pii.BASE)] for r in pii.find(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    right = sum(s in found[n] for n in wanted for s in wanted[n])
+    assert right >= 0.97 * sum(map(len, wanted.values()))
+    wrong = sum(s in found[n] for n in refused for s in refused[n])
+    assert wrong <= 0.03 * sum(map(len, refused.values())) and sum(map(len, refused.values())) > 500
+
+
+def test_credentials_with_spaces_and_quotes(spark):
+    rows = [(1, 'x token = "ab12cd34ef" y'), (2, "api_key: 'ab12cd34'"), (3, "secret=ab12cd34, more"), (4, "token of esteem = respect"), (5, "Password  =  hunter22")]
+    found = {r.doc_id: [(pii.KINDS[m.kind], m.text) for m in r._more] for r in pii.candidates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found == {1: [("credential", "ab12cd34ef")], 2: [("credential", "ab12cd34")], 3: [("credential", "ab12cd34")], 4: [], 5: [("credential", "hunter22")]}
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "token = abc12345", "u", 1), (1, "token = abc12345", "u", 1), (None, None, None, None), (2, "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _more string, spans int")
+    for found in (pii.find(docs).select("doc_id", "spans"), license_scan.notices(docs).select("doc_id", "notices")):
+        assert sorted(str(r.doc_id) for r in found.collect()) == ["1", "1", "2", "None"]

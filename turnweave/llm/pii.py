@@ -1,14 +1,16 @@
 """Personal data by weak supervision, with built-in functions only.
 
-Candidate spans come from patterns: the four base kinds, which are always kept once valid, and looser kinds. Regex,
-gazetteer and context labelers vote on each candidate or abstain. Votes are counted by pattern (kind, votes, features),
-of which there is a fixed number; expectation-maximisation over these counts estimates each labeler's reliability and
-each pattern's posterior, and a logistic span classifier is trained on the posteriors. Its weights become an SQL
-expression that decides which looser candidates are added.
-
-Places follow from lengths: a pattern's matches and the pieces between them are taken in one pass each, so a text of any
-length costs linear time. Optional separators, which would need nested repetition, are first turned into a private
-character of the same length; no pattern repeats a group without bound.
+Candidate spans come from patterns: the four base kinds, which are always kept once valid, and loose kinds, whose
+patterns also take long words, counts and other numbers. Regex, gazetteer and context labelers vote on each loose
+candidate or abstain. Votes are counted by pattern (kind, votes, features), of which there is a fixed number;
+expectation-maximisation over these counts estimates each labeler's reliability and each pattern's posterior, and a
+logistic span classifier is trained on the posteriors. Its weights become an SQL expression that accepts or refuses.
+Base spans are certain anyway and take no part in the estimates.
+
+Texts are searched once: spans, which are few, are written to the shared folder, and both the fit and the result come
+from there. Places follow from lengths: a pattern's matches and the pieces between them are taken in one pass each, so a
+text of any length costs linear time. Optional separators, which would need nested repetition, are first turned into a
+private character of the same length; no pattern repeats a group without bound.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import pinned
+from turnweave.llm._session import cut, pinned
 
 #: Kinds in the order that breaks ties of position; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "credential", "key", "id_number", "local_phone")
@@ -27,23 +29,25 @@ BASE = KINDS[:4]
 #: A private character that stands for a separator while a pattern is matched.
 _MARK = "\ue000"
 _LOCAL = rf"A-Za-z0-9._%+{_MARK}-"
+_SECRETS = "password|passwd|secret|token|api[_-]?key"
 #: Column that a kind is looked for in, and its pattern.
 PATTERNS = {
     "email": ("_dotted", rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++{_MARK}[A-Za-z0-9{_MARK}-]++"),
     "ip": ("_plain", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": ("_spaced", rf"(?<![0-9{_MARK}])(?:[0-9]{_MARK}?){{13,18}}[0-9](?![0-9{_MARK}])"),
     "phone": ("_plain", r"\+[0-9][ ().0-9-]+[0-9]"),
-    "credential": ("_worded", r"""(?<=(?i:password|passwd|secret|token)[=:])[^\x09-\x0D "',;]{6,}+"""),
-    "key": ("_plain", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"),
-    "id_number": ("_plain", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
+    "credential": ("_worded", rf"""(?<=(?i:{_SECRETS}) {{0,2}}[=:] {{0,2}}["']?)[^\x09-\x0D "',;]{{6,}}+"""),
+    "key": ("_running", r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"),
+    "id_number": ("_plain", r"(?<![0-9A-Za-z-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{9,19})(?![0-9A-Za-z-])"),
     "local_phone": ("_plain", r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 }
-#: What makes a span likelier or not. Top-level domains, card prefixes, networks that name no one, words.
-DOMAINS = "com|org|net|edu|gov|io|info|biz|eu|uk|us|de|fr|es|it|nl|ch|at|jp|cn|in|br|ru"
-CARD_PREFIXES = "4|5[1-5]|2[2-7]|3[47]|35|6011|65"
-NO_ONES_NETWORK = r"0\.|10\.|127\.|169\.254\.|192\.168\.|22[4-9]\.|2[3-5][0-9]\."
-FOR_WORDS = "mail|contact|call|tel|phone|fax|card|visa|pay|ip|host|server|address|password|passwd|secret|token|key|ssn|login"
-AGAINST_WORDS = "version|section|chapter|page|figure|table|isbn|issn|doi|order|item|part|commit|sha"
+#: What makes a span likelier or not. Beginnings of service keys, lengths of digests in hexadecimal, values
+#: that stand for a secret in manuals, words before a span.
+KEY_BEGINNINGS = "AKIA|ASIA|AIza|ghp|gho|sk|pk|xox"
+DIGEST_LENGTHS = "32|40|56|64|96|128"
+PLACEHOLDERS = "changeme|change_me|example|password|placeholder|redacted|required|secret|string|undefined|your.*|x+|[*]+|[.]+|<.*|[$][{].*"
+FOR_WORDS = "account|address|card|call|contact|fax|host|iban|ip|key|login|mail|passport|passwd|password|pay|phone|secret|ssn|tel|token|visa"
+AGAINST_WORDS = "chapter|commit|doi|figure|isbn|issn|item|order|page|part|section|sha|table|version"
 
 _BLOCK = 128
 
@@ -78,40 +82,48 @@ _VALID = {
     "card": f"luhn_check({_DIGITS})",
     "phone": f"length({_DIGITS}) BETWEEN 10 AND 15",
     "credential": "true",
-    "key": "length(regexp_replace(m.text, '[0-9]+', '')) BETWEEN 1 AND length(m.text) - 3",
+    "key": "true",
     "id_number": "true",
     "local_phone": "true",
 }
 
-#: Labelers: name and SQL over a candidate m with its kind; 1 for, 0 against, null abstains.
+_MIXED = "(m.text rlike '[A-Za-z]' AND m.text rlike '[0-9].*[0-9].*[0-9]')"
+_DISTINCT = "size(array_distinct(split(m.text, '')))"
+_BEFORE = "lower(m.left) rlike '(?:^|[^a-z])({words})[^a-z0-9]{{0,6}}$'"
+_NAMED, _DENIED = _BEFORE.format(words=FOR_WORDS), _BEFORE.format(words=AGAINST_WORDS)
+#: Labelers of the loose kinds: name and SQL over a candidate m with its kind; 1 for, 0 against, null abstains.
 LABELERS = (
-    ("regex_shape", f"CASE m.kind WHEN 4 THEN if(m.text rlike '[0-9]', 1, 0) WHEN 5 THEN if(m.text rlike '[a-z]' AND m.text rlike '[A-Z]', null, 1) WHEN 6 THEN if(m.text rlike '^(000|666|9)', 0, 1) WHEN 7 THEN if({_DIGITS} rlike '^[2-9]', 1, 0) ELSE 1 END"),
-    ("regex_variety", "CASE WHEN m.kind = 0 THEN null WHEN size(array_distinct(split(m.text, ''))) >= 5 THEN 1 ELSE 0 END"),
-    ("gazetteer", f"CASE m.kind WHEN 0 THEN if(m.text rlike '(?i)[.]({DOMAINS})$', 1, 0) WHEN 1 THEN if(m.text rlike '^({NO_ONES_NETWORK})', 0, 1) WHEN 2 THEN if(m.text rlike '^({CARD_PREFIXES})', 1, 0) WHEN 3 THEN 1 END"),
-    ("context_for", f"if(lower(m.left) rlike '({FOR_WORDS})[^a-z]{{0,3}}$', 1, null)"),
-    ("context_against", f"if(lower(m.left) rlike '({AGAINST_WORDS})[^a-z]{{0,3}}$', 0, null)"),
-    ("context_bounds", "if((m.left = '' OR m.left rlike '[^A-Za-z0-9]$') AND (m.right = '' OR m.right rlike '^[^A-Za-z0-9]'), 1, 0)"),
+    ("regex_shape", f"CASE m.kind WHEN 4 THEN if(m.text rlike '[^A-Za-z]', 1, 0) WHEN 5 THEN if({_MIXED}, 1, 0) WHEN 6 THEN if(m.text rlike '^(?!000|666|9)[0-9]{{3}}-(?!00)[0-9]{{2}}-(?!0000)', 1, 0) ELSE if({_DIGITS} rlike '^[2-9]..[2-9]', 1, 0) END"),
+    ("regex_variety", f"CASE WHEN m.kind IN (4, 5) THEN if({_DISTINCT} >= 8, 1, 0) WHEN {_DISTINCT} < 4 THEN 0 END"),
+    ("gazetteer_forms", f"CASE WHEN m.kind IN (4, 5) AND (m.text rlike '^({KEY_BEGINNINGS})[A-Z0-9_-]' OR m.text rlike '^[0-9a-f]+$' AND length(m.text) IN ({DIGEST_LENGTHS.replace('|', ', ')})) THEN 1 WHEN m.kind = 5 AND m.text rlike '^([A-Za-z]?[a-z]+|[0-9]+)$' THEN 0 END"),
+    ("gazetteer_placeholders", f"CASE WHEN m.kind = 4 AND m.text rlike '(?i)^({PLACEHOLDERS})$' THEN 0 END"),
+    ("context_for", f"if({_NAMED}, 1, if(m.kind IN (5, 6), 0, null))"),
+    ("context_against", f"if({_DENIED}, 0, null)"),
 )
 #: Features of the classifier besides kind: an SQL condition over a candidate m.
 FEATURES = (
     ("long", "length(m.text) >= 16"),
-    ("mostly_digits", "2 * length(regexp_replace(m.text, '[^0-9]', '')) >= length(m.text)"),
-    ("named", f"lower(m.left) rlike '({FOR_WORDS})[^a-z]{{0,3}}$'"),
-    ("denied", f"lower(m.left) rlike '({AGAINST_WORDS})[^a-z]{{0,3}}$'"),
-    ("open_left", "m.left rlike '[A-Za-z0-9]$'"),
-    ("varied", "size(array_distinct(split(m.text, ''))) >= 5"),
+    ("mostly_digits", f"2 * length({_DIGITS}) >= length(m.text)"),
+    ("mixed", _MIXED),
+    ("dashed", "m.text rlike '[0-9][ .)-]+[0-9]'"),
+    ("named", _NAMED),
+    ("denied", _DENIED),
+    ("placeholder", f"m.text rlike '(?i)^({PLACEHOLDERS})$'"),
+    ("varied", f"{_DISTINCT} >= 8"),
 )
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The input with ``_base`` and ``_more``: valid spans of the base kinds, and candidates of the others.
 
-    Each is an array of (start, kind, end, text, left, right), ordered. Credentials are looked for in every text, the
-    other kinds, which need a digit or ``@``, in texts that have one.
+    Each is an array of (start, kind, end, text, left, right), ordered. Credentials and keys are looked for in every
+    text, the other kinds, which need a digit or ``@``, in texts that have one. Loose candidates overlap neither base
+    spans nor loose ones of an earlier kind.
     """
     plain = F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(_MARK), F.lit("\ufffd"))
     f = docs.withColumn("_plain", F.when(plain.rlike("[0-9@]"), plain))
-    f = f.withColumn("_worded", F.when(plain.rlike("(?i)(?:password|passwd|secret|token)[=:]"), plain))
+    f = f.withColumn("_worded", F.when(plain.rlike(f"(?i)(?:{_SECRETS}) {{0,2}}[=:]"), plain))
+    f = f.withColumn("_running", F.when(plain.rlike("[A-Za-z0-9]{20}"), plain))
     f = f.withColumn("_dotted", F.when(F.contains("_plain", F.lit("@")), F.regexp_replace("_plain", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _MARK)))
     f = f.withColumn("_spaced", F.regexp_replace("_plain", r"(?<=[0-9])[ -](?=[0-9])", _MARK))
     for kind in KINDS:
@@ -126,19 +138,20 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     loose = F.concat(*(f"_{k}" for k in KINDS[len(BASE) :]))
     f = f.withColumn("_more", F.array_sort(loose))
     f = f.withColumn("_more", F.expr("filter(_more, m -> NOT exists(_base, b -> m.start < b.end AND b.start < m.end) AND NOT exists(_more, o -> o.kind < m.kind AND m.start < o.end AND o.start < m.end))"))
-    return f.drop("_plain", "_worded", "_dotted", "_spaced", *(f"_{k}" for k in KINDS), *(f"_{k}_blocks" for k in KINDS))
+    return f.drop("_plain", "_worded", "_running", "_dotted", "_spaced", *(f"_{k}" for k in KINDS), *(f"_{k}_blocks" for k in KINDS))
 
 
 def votes(found: DataFrame) -> DataFrame:
-    """How many candidates have each pattern of kind, votes and features: a table of bounded size."""
-    each = found.select(F.explode(F.concat("_base", "_more")).alias("m"))
+    """How many loose candidates have each pattern of kind, votes and features: a table of bounded size."""
+    each = found.select(F.explode("_more").alias("m"))
     each = each.select(F.col("m.kind").alias("kind"), *(F.expr(sql).alias(n) for n, sql in LABELERS), *(F.expr(sql).cast("int").alias(f"f_{n}") for n, sql in FEATURES))
     return each.groupBy(*each.columns).agg(F.count("*").alias("n"))
 
 
 def fit_labelers(patterns: list[tuple[list[int | None], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]], list[float]]:
     """Expectation-maximisation over (votes, count): share of true spans, each labeler's (P(1 | true), P(1 | false)), and
-    each pattern's posterior. Starts from majority votes; one pseudo-count per cell keeps estimates off 0 and 1."""
+    each pattern's posterior. Starts from majority votes. Five pseudo-counts a cell say that a labeler is right four
+    times in five, for as long as the counts do not say otherwise; a labeler may turn out to be worse than a coin."""
     posterior = []
     for cast, _ in patterns:
         given = [v for v in cast if v is not None]
@@ -155,9 +168,7 @@ def fit_labelers(patterns: list[tuple[list[int | None], int]], rounds: int = 50)
                 if cast[j] is not None:
                     t, f = t + p * n, f + (1 - p) * n
                     t1, f1 = t1 + p * n * cast[j], f1 + (1 - p) * n * cast[j]
-            # a labeler speaks for what it votes for: at least as often on true spans as on others
-            rate = (t1 + 4) / (t + 5), (f1 + 1) / (f + 5)
-            rates.append((max(rate), min(rate)))
+            rates.append(((t1 + 4) / (t + 5), (f1 + 1) / (f + 5)))
         before = posterior
         posterior = []
         for cast, _ in patterns:
@@ -171,7 +182,7 @@ def fit_labelers(patterns: list[tuple[list[int | None], int]], rounds: int = 50)
     return share, rates, posterior
 
 
-def fit_classifier(rows: list[tuple[list[int], float, int]], steps: int = 200, decay: float = 0.01) -> list[float]:
+def fit_classifier(rows: list[tuple[list[int], float, float]], steps: int = 200, decay: float = 0.01) -> list[float]:
     """Logistic regression by full-batch gradient steps on (0/1 features, target, count); the last weight is the bias."""
     if not rows:
         return []
@@ -190,32 +201,41 @@ def fit_classifier(rows: list[tuple[list[int], float, int]], steps: int = 200, d
 
 
 def train(found: DataFrame) -> list[float]:
-    """Classifier weights: one per kind, one per feature, the bias. Every candidate of the table is counted."""
+    """Classifier weights: one per loose kind, one per feature, the bias. Every candidate of the table is counted; kinds
+    have equal weight, so that a rare one is learned as well as a common one."""
     rows = votes(found).collect()  # at most kinds x 3 ** labelers x 2 ** features rows
     rows.sort(key=lambda r: tuple(-1 if v is None else v for v in r))
     n = len(LABELERS)
     _, _, posterior = fit_labelers([(list(r[1 : n + 1]), r["n"]) for r in rows])
-    return fit_classifier([([int(r[0] == k) for k in range(len(KINDS))] + [int(bool(v)) for v in r[n + 1 : -1]], p, r["n"]) for r, p in zip(rows, posterior)])
+    loose = range(len(BASE), len(KINDS))
+    of_kind = {k: sum(r["n"] for r in rows if r["kind"] == k) for k in loose}
+    return fit_classifier([([int(r["kind"] == k) for k in loose] + [int(bool(v)) for v in r[n + 1 : -1]], p, r["n"] / of_kind[r["kind"]]) for r, p in zip(rows, posterior)])
+
+
+def accepted(weights: list[float], threshold: float = 0.5) -> str:
+    """SQL over a loose candidate m: whether the classifier takes it."""
+    loose = len(KINDS) - len(BASE)
+    z = f"{weights[-1]}D + CASE m.kind " + " ".join(f"WHEN {len(BASE) + k} THEN {w}D" for k, w in enumerate(weights[:loose])) + " END"
+    z += "".join(f" + IF({sql}, {w}D, 0D)" for (_, sql), w in zip(FEATURES, weights[loose:]))
+    return f"1 / (1 + exp(-({z}))) >= {threshold}D"
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per input row: ``id_col, base, spans``, arrays of (start, kind, end, text) by start, then kind.
 
     Places are code points, end exclusive. Base spans are the valid matches of e-mail address, IP address, payment card
-    and telephone patterns; ``spans`` has them and the looser candidates that the classifier takes, none of which
-    overlaps another. A null text counts as empty and has no spans. With no candidates nothing is trained.
+    and telephone patterns; ``spans`` has them and the loose candidates that the classifier takes, none of which
+    overlaps another. A null text counts as empty and has no spans. Repeated rows are searched each, and each counts for
+    the fit. With no candidates nothing is trained; an empty table gives an empty result. Other columns are ignored.
     """
     found = candidates(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text")
-    weights = train(found)
-    if weights:
-        z = f"{weights[-1]}D + CASE m.kind " + " ".join(f"WHEN {k} THEN {w}D" for k, w in enumerate(weights[: len(KINDS)])) + " END"
-        z += "".join(f" + IF({sql}, {w}D, 0D)" for (_, sql), w in zip(FEATURES, weights[len(KINDS) :]))
-        added = F.expr(f"filter(_more, m -> 1 / (1 + exp(-({z}))) >= {threshold}D)")
-    else:
-        added = F.col("_more")
     # looked up where the pattern may have seen another character than the text has
-    text = lambda m: F.when(m["kind"].isin(KINDS.index("card"), KINDS.index("credential")), F.substr("_text", m["start"] + 1, m["end"] - m["start"])).otherwise(m["text"])
-    bare = lambda spans: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), text(m).alias("text")))
+    own = lambda m: F.when(m["kind"].isin(KINDS.index("card"), KINDS.index("credential")), F.substr("_text", m["start"] + 1, m["end"] - m["start"])).otherwise(m["text"])
+    whole = lambda spans: pinned(F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), own(m).alias("text"), m["left"].alias("left"), m["right"].alias("right"))))
+    found = cut(found.select("_id", whole("_base").alias("_base"), whole("_more").alias("_more")))
+    weights = train(found)
+    added = F.expr(f"filter(_more, m -> {accepted(weights, threshold)})") if weights else F.col("_more")
+    bare = lambda spans: F.transform(spans, lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["text"].alias("text")))
     return found.select(F.col("_id").alias(id_col), pinned(bare(F.col("_base"))).alias("base"), pinned(bare(F.array_sort(F.concat("_base", added)))).alias("spans"))
 
 
