@@ -56,6 +56,18 @@ def test_recursion_into_scratch_files(budget):
     assert len(found) == len(wanted) and {d: (k, n) for d, k, n in found} == wanted
 
 
+def test_budget_counts_entries_of_short_texts():
+    """What a table holds is bounded by the budget, also where the contents are next to nothing."""
+    import tracemalloc
+
+    rows = ((hashlib.sha256(b"%d" % i).digest(), b"%d" % i, i, 1) for i in range(60_000))
+    tracemalloc.start()
+    assert sum(1 for _ in ed.grace(rows, 1 << 20)) == 60_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20
+
+
 def test_table_compares_contents():
     table = ed.ContentTable(4)
     for n in range(100):

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from turnweave.llm._session import prepare
 
-#: Bytes of content that one table may hold, and the number of scratch files of one level (a hexadecimal digit).
-TABLE_BYTES, FANOUT = 32 << 20, 16
+#: Bytes that one table may hold, what an entry takes besides its content (objects, list places, slots), and the number
+#: of scratch files of one level (a hexadecimal digit).
+TABLE_BYTES, ENTRY_BYTES, FANOUT = 32 << 20, 256, 16
 
 RECORD = pa.schema([("digest", pa.binary()), ("content", pa.large_binary()), ("keep", pa.int64()), ("copies", pa.int64())])
 
@@ -67,7 +68,7 @@ class ContentTable:
         self.contents.append(content)
         self.keep.append(keep)
         self.copies.append(copies)
-        self.bytes += len(content)
+        self.bytes += len(content) + ENTRY_BYTES
         if 2 * len(self.digests) > len(self.slots):
             self.slots = np.full(2 * len(self.slots), -1, np.int64)
             for n, (d, c) in enumerate(zip(self.digests, self.contents)):
@@ -85,7 +86,7 @@ def _batched(rows: Iterable[tuple], most_bytes: int = 4 << 20) -> Iterator[pa.Re
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += len(row[1]) + 64
+        size += len(row[1]) + ENTRY_BYTES
         if size >= most_bytes:
             yield _record_batch(held)
             held, size = [], 0
@@ -125,7 +126,7 @@ def grace(rows: Iterable[tuple], budget: int = TABLE_BYTES, level: int = 0) -> I
             # the low bits choose the slot in a table, so the digits come from the front, after Spark's own use of a hash
             digit = row[0][level // 2] >> (0 if level % 2 else 4) & 15
             held[digit].append(row)
-            sizes[digit] += len(row[1]) + 64
+            sizes[digit] += len(row[1]) + ENTRY_BYTES
             if sizes[digit] >= budget // FANOUT:
                 writers[digit].write_batch(_record_batch(held[digit]))
                 held[digit].clear()
