@@ -64,10 +64,23 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that this run has written and nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, or with underscores after it one that no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files of earlier rounds: it does so once the driver's garbage is collected."""
+    """Let go of the driver's handles of earlier rounds, so that Spark's cleaner can delete their shuffle files."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def pinned(column: Column) -> Column:

@@ -11,26 +11,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import cut
+from turnweave.llm._session import cut, fresh
 
 #: Cells that the driver fits by itself; beyond, the same sweeps run as DataFrame aggregations.
 DRIVER_CELLS = 100_000
 SWEEPS, TOLERANCE = 100, 1e-9
 #: How far each marginal moves from its observed shares (1) towards equal ones (0).
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
-_BITS = 40
+#: Topics that are told apart, and the shares of all documents that have a word which can stand for one.
+TOPICS, LEAST_SHARE, MOST_SHARE = 16, 0.01, 0.1
+#: Hexadecimal digits of the digest that decides a row's fate.
+_DIGITS = 10
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def topic(text: Column) -> Column:
-    """A document's form, for want of topics in the table: ``table``, ``list``, ``short``, ``long`` or ``prose``."""
-    size = F.coalesce(F.char_length(text), F.lit(0))
-    return (
-        F.when(size < 500, "short")
-        .when(F.coalesce(text.contains(" | "), F.lit(False)), "table")
-        .when(F.coalesce(text.rlike(r"\n[-*] "), F.lit(False)), "list")
-        .when(size >= 10_000, "long")
-        .otherwise("prose")
-    )
+def topic_words(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> list[str]:
+    """Words that stand for topics, learned from all documents.
+
+    Of words of five letters a-z or more (A-Z read as a-z), those that between LEAST_SHARE and MOST_SHARE of the
+    documents have; of these the ``topics`` that most documents have, of equal ones the first by alphabet.
+    """
+    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]{5,}"), F.lit(0)))).alias("word"))
+    total = docs.count()
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n").between(LEAST_SHARE * total, MOST_SHARE * total))
+    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(topics).collect()]
+
+
+def _times(found: Column, word: str) -> Column:
+    return F.size(F.filter(found, lambda x: x == word))
+
+
+def topic(text: Column, words: list[str]) -> Column:
+    """The one of the words that a text has most often, of equal ones the first; ``other`` if it has none."""
+    if not words:
+        return F.lit("other")
+    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+    found = F.regexp_extract_all(low, F.lit(f"(?<![a-z])(?:{'|'.join(words)})(?![a-z])"), F.lit(0))
+    times = F.array(*(F.struct(_times(found, w).alias("times"), F.lit(-n).alias("nth"), F.lit(w).alias("word")) for n, w in enumerate(words)))
+    return F.when(F.size(found) > 0, F.array_max(times)["word"]).otherwise("other")
 
 
 def tokens(text: Column) -> Column:
@@ -88,7 +107,7 @@ def _fitted_by_sums(cells: DataFrame, axes: list[str], targets: dict[str, DataFr
             fitted = cut(fitted.select(*axes, "tokens", "w", "ratio"))
             worst = max(worst, fitted.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
             fitted = fitted.drop("ratio")
-        if worst < TOLERANCE * 1000:
+        if worst < TOLERANCE:
             break
     return fitted
 
@@ -101,47 +120,51 @@ def mix(
     text_col: str = "text",
     seed: int = 11,
     driver_cells: int = DRIVER_CELLS,
+    name: str = "mix",
 ) -> DataFrame:
-    """The input's columns plus a struct ``mix`` of ``tokens, weight, probability, sampled, copies``.
+    """The input's columns plus a struct ``name`` of ``tokens, weight, probability, sampled, copies``.
 
     ``axes`` names the marginals (by default source, lang and topic); ``targets`` may give a marginal's shares by value,
     otherwise observed shares are tempered by TEMPER. A null value is a value of its own. ``weight`` is the cell's ratio
-    of fitted to observed tokens. ``copies`` is its whole part, and one more if the hash of the row's seed, id and text
-    falls below the rest, so a row's fate does not depend on partitions, and repeated rows share theirs. ``sampled``
-    says that there is a copy, ``probability`` how likely that is: the weight, 1 at most. An empty
-    table gives an empty result. An input column named ``mix`` is replaced.
+    of fitted to observed tokens. ``copies`` is its whole part, and one more if the digest of the row's seed, id and text
+    (nulls count as empty) falls below the rest, so a row's fate does not depend on partitions, and repeated rows share
+    theirs. ``sampled`` says that there is a copy, ``probability`` how likely that is: the weight, 1 at most. An empty
+    table gives an empty result. If an input column has the struct's name, the struct gets underscores after it
+    (``fresh``); the input's columns stay as they are.
     """
+    name = fresh(docs.columns, name)
     text = F.col(text_col)
-    axes = axes or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(text)}
+    axes = axes or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(text, topic_words(docs, text_col))}
     names = [f"_axis_{a}" for a in axes]
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != "mix"]
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(text, F.lit("")).cast("binary"))), 64 - _BITS) / float(1 << _BITS)
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
+    draw = F.conv(F.left(digest, F.lit(_DIGITS)), 16, 10).cast("bigint") / float(1 << 4 * _DIGITS)
     whole = docs.select(F.struct(*keep).alias("_row"), *(v.cast("string").alias(n) for n, v in zip(names, axes.values())), tokens(text).alias("_tokens"), draw.alias("_draw"))
     cells = cut(whole.groupBy(*names).agg(F.sum("_tokens").alias("tokens")))
     n_cells = cells.count()
     if n_cells <= driver_cells:
         observed = {tuple(r[n] for n in names): r["tokens"] for r in cells.collect()}  # driver_cells rows at most
         shares = []
-        for axis, (name, column) in enumerate(zip(axes, names)):
+        for axis, of in enumerate(axes):
             sums: dict = {}
             for key in sorted(observed, key=str):
                 sums[key[axis]] = sums.get(key[axis], 0.0) + observed[key]
-            shares.append(_complete(sums, (targets or {}).get(name), TEMPER.get(name, 1.0)))
+            shares.append(_complete(sums, (targets or {}).get(of), TEMPER.get(of, 1.0)))
         fitted = fit({k: observed[k] for k in sorted(observed, key=str)}, shares)
         schema = ", ".join(f"{n} string" for n in names) + ", weight double"
         ratios = docs.sparkSession.createDataFrame([(*k, w / observed[k]) for k, w in fitted.items()], schema)
     else:
         total = cells.agg(F.sum("tokens")).first()[0]
         by_axis = {}
-        for name, column in zip(axes, names):
+        for of, column in zip(axes, names):
             sums = cells.groupBy(F.col(column).alias("value")).agg((F.sum("tokens") / total).alias("seen"))
-            if wanted := (targets or {}).get(name):
+            if wanted := (targets or {}).get(of):
                 given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in wanted.items()], "given string, wanted double")
                 sums = sums.join(given, F.col("value").eqNullSafe(F.col("given")), "left")
                 both = sums.agg(F.sum("wanted"), F.sum(F.when(F.col("wanted").isNull(), F.col("seen")))).first()
                 share = F.coalesce(F.col("wanted") / F.lit(both[0] or 1.0) * (1 - (both[1] or 0.0)), F.col("seen"))
             else:
-                power = F.pow("seen", F.lit(TEMPER.get(name, 1.0)))
+                power = F.pow("seen", F.lit(TEMPER.get(of, 1.0)))
                 share = power / F.lit(sums.agg(F.sum(power)).first()[0])
             by_axis[column] = cut(sums.select("value", share.alias("share")))
         fitted = _fitted_by_sums(cells, names, by_axis, total)
@@ -156,11 +179,12 @@ def mix(
     probability = F.least(F.col("weight"), F.lit(1.0))
     certain = F.floor("weight")
     copies = certain + (F.col("_draw") < F.col("weight") - certain).cast("bigint")
-    return whole.join(ratios, same).select("_row.*", F.struct(F.col("_tokens").alias("tokens"), "weight", probability.alias("probability"), (copies > 0).alias("sampled"), copies.alias("copies")).alias("mix"))
+    return whole.join(ratios, same).select("_row.*", F.struct(F.col("_tokens").alias("tokens"), "weight", probability.alias("probability"), (copies > 0).alias("sampled"), copies.alias("copies")).alias(name))
 
 
-def repeated(mixed: DataFrame) -> DataFrame:
+def repeated(mixed: DataFrame, name: str = "mix") -> DataFrame:
     """The rows of ``mix``, each as often as it has copies, without the struct."""
-    keep = [F.col(f"`{c}`") for c in mixed.columns if c != "mix"]
-    n = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("mix.copies")))
-    return mixed.where("mix.copies > 0").select(*keep, n.alias("_copy")).drop("_copy")
+    keep = [F.col(f"`{c}`") for c in mixed.columns if c != name]
+    nth = fresh(mixed.columns, "_copy")
+    n = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(f"{name}.copies")))
+    return mixed.where(F.col(f"{name}.copies") > 0).select(*keep, n.alias(nth)).drop(nth)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import pinned
+from turnweave.llm._session import fresh, pinned
 
 #: Rules in bit order: name, SQL condition over the measurements that fails a document.
 RULES = (
@@ -63,38 +63,40 @@ def _measure(frame: DataFrame) -> DataFrame:
 MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_letters", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The input's columns plus a struct ``ledger`` of ``fail_bits`` and the measurements.
+def ledger(docs: DataFrame, text_col: str = "text", name: str = "ledger") -> DataFrame:
+    """The input's columns plus a struct ``name`` of ``fail_bits`` and the measurements.
 
     A null text has no words and fails ``few_words``, as does an empty one. Words are runs of anything but U+0020 and
-    U+0009-000D; repeated windows of three words are found by a 64-bit hash of the words. An input column named
-    ``ledger`` is replaced.
+    U+0009-000D; repeated windows of three words are found by a 64-bit hash of the words. Repeated rows are measured each.
+    An empty table gives an empty result. If an input column has the struct's name, the struct gets underscores after it
+    (``fresh``); the input's columns stay as they are.
     """
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != "ledger"]
+    name = fresh(docs.columns, name)
+    keep = [F.col(f"`{c}`") for c in docs.columns]
     whole = docs.select(F.struct(*keep).alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     measured = _measure(whole)
     bits = F.lit(0)
-    for name, fails in RULES:
-        bits = bits.bitwiseOR(F.when(F.expr(fails), BIT[name]).otherwise(0))
-    return measured.select("_row.*", F.struct(pinned(bits).alias("fail_bits"), *MEASUREMENTS).alias("ledger"))
+    for rule, fails in RULES:
+        bits = bits.bitwiseOR(F.when(F.expr(fails), BIT[rule]).otherwise(0))
+    return measured.select("_row.*", F.struct(pinned(bits).alias("fail_bits"), *MEASUREMENTS).alias(name))
 
 
-def passes(version: str, bits: Column | None = None) -> Column:
-    """Whether a policy keeps a row."""
-    return (F.col("ledger.fail_bits") if bits is None else bits).bitwiseAND(POLICIES[version]) == 0
+def passes(version: str, name: str = "ledger") -> Column:
+    """Whether a policy keeps a row, by the ledger in the struct ``name``."""
+    return F.col(f"{name}.fail_bits").bitwiseAND(POLICIES[version]) == 0
 
 
-def apply_policy(ledgered: DataFrame, version: str) -> DataFrame:
+def apply_policy(ledgered: DataFrame, version: str, name: str = "ledger") -> DataFrame:
     """The rows that a policy keeps, without their ledger."""
-    return ledgered.where(passes(version)).drop("ledger")
+    return ledgered.where(passes(version, name)).drop(name)
 
 
-def ablations(ledgered: DataFrame, version: str) -> DataFrame:
+def ablations(ledgered: DataFrame, version: str, name: str = "ledger") -> DataFrame:
     """For each rule of a policy: rows it fails, rows that only it rejects (kept again if it were dropped), and the
     rows, rejected rows and union of failure bits of the whole table. One pass over the bits; the first aggregation
     leaves a row per bit pattern, at most 2 to the power of the number of rules."""
     mask = POLICIES[version]
-    patterns = ledgered.groupBy(F.col("ledger.fail_bits").alias("bits")).agg(F.count("*").alias("n"))
+    patterns = ledgered.groupBy(F.col(f"{name}.fail_bits").alias("bits")).agg(F.count("*").alias("n"))
     whole = F.struct(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("bits").bitwiseAND(mask) != 0, F.col("n"))), F.lit(0)).alias("rejected"),
@@ -102,11 +104,11 @@ def ablations(ledgered: DataFrame, version: str) -> DataFrame:
     )
     of_rule = [
         F.struct(
-            F.lit(name).alias("rule"),
-            F.coalesce(F.sum(F.when(F.col("bits").bitwiseAND(BIT[name]) != 0, F.col("n"))), F.lit(0)).alias("failed"),
-            F.coalesce(F.sum(F.when(F.col("bits").bitwiseAND(mask) == BIT[name], F.col("n"))), F.lit(0)).alias("only_this"),
+            F.lit(rule).alias("rule"),
+            F.coalesce(F.sum(F.when(F.col("bits").bitwiseAND(BIT[rule]) != 0, F.col("n"))), F.lit(0)).alias("failed"),
+            F.coalesce(F.sum(F.when(F.col("bits").bitwiseAND(mask) == BIT[rule], F.col("n"))), F.lit(0)).alias("only_this"),
         )
-        for name, _ in RULES
-        if BIT[name] & mask
+        for rule, _ in RULES
+        if BIT[rule] & mask
     ]
     return patterns.agg(whole.alias("whole"), F.array(*of_rule).alias("rules")).select(F.inline("rules"), F.col("whole")).select("rule", "failed", "only_this", "whole.*")

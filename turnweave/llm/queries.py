@@ -118,6 +118,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleave(table(spark, sf_dir, "documents"))
 
 
+#: The unsigned CRC-32 of a text's bytes. Its table has a rule: eight steps of division by the fixed polynomial.
+_CRC_SQL = """t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bs
+      FROM (SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS text FROM documents)),
+d AS (SELECT r, doc_id, source, lang, text, strlen(text) AS n_bytes, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) AS crc FROM b, t)"""
+OP7_SQL = f"""
+WITH {_CRC_SQL},
+h AS (SELECT *, CAST('0x' || left(md5('7|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(text)), 10) AS BIGINT) AS h FROM d),
+k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, crc, n_bytes) AS rank, count(*) OVER (PARTITION BY source) AS n FROM h),
+o AS (SELECT *, row_number() OVER (ORDER BY CAST(2 * rank - 1 AS DOUBLE) / (2 * n), source NULLS FIRST, h, doc_id NULLS FIRST, crc, n_bytes) - 1 AS place, count(*) OVER () AS total FROM k)
+SELECT doc_id, n_bytes + 1 AS size, crc AS text_crc32, 'rows' AS law, CAST(place * 16 // total AS INTEGER) AS shard,
+       place - (place * 16 // total * total + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM o
+"""
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -162,4 +178,42 @@ FROM b
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "mix.*")
+    found = mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "mix.*")
+    rounded = lambda c: F.round(c, 6).alias(c)
+    return found.select("doc_id", "source", "lang", "tokens", rounded("weight"), rounded("probability"), "sampled", "copies")
+
+
+OP10_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS text,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+') AS runs
+  FROM documents),
+a AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS nth FROM (
+        SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(runs, lambda w: length(w) >= 5))) AS word FROM d) GROUP BY word)
+      WHERE n BETWEEN {mixing.LEAST_SHARE} * (SELECT count(*) FROM d) AND {mixing.MOST_SHARE} * (SELECT count(*) FROM d) ORDER BY n DESC, word LIMIT {mixing.TOPICS}),
+p AS (SELECT r, first(word ORDER BY times DESC, nth) AS topic FROM (
+        SELECT r, word, any_value(nth) AS nth, count(*) AS times FROM (SELECT r, unnest(runs) AS word FROM d) JOIN a USING (word) GROUP BY r, word) GROUP BY r),
+e AS (SELECT d.r, doc_id, source, lang, coalesce(topic, 'other') AS topic, CAST(greatest(ceil(strlen(text) / 4), 1) AS DOUBLE) AS tokens,
+             CAST('0x' || left(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(text)), 10) AS BIGINT) / CAST(1099511627776 AS DOUBLE) AS draw
+      FROM d LEFT JOIN p ON d.r = p.r),
+c AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM e GROUP BY ALL),
+s AS (SELECT source, lang, topic, tokens, sum(tokens) OVER () AS total,
+             pow(sum(tokens) OVER (PARTITION BY source) / sum(tokens) OVER (), CAST({mixing.TEMPER["source"]} AS DOUBLE)) AS p_source,
+             pow(sum(tokens) OVER (PARTITION BY lang) / sum(tokens) OVER (), CAST({mixing.TEMPER["lang"]} AS DOUBLE)) AS p_lang,
+             pow(sum(tokens) OVER (PARTITION BY topic) / sum(tokens) OVER (), CAST({mixing.TEMPER["topic"]} AS DOUBLE)) AS p_topic FROM c),
+g AS (SELECT source, lang, topic, tokens, total,
+             total * p_source / (SELECT sum(x) FROM (SELECT DISTINCT source, p_source AS x FROM s)) AS t_source,
+             total * p_lang / (SELECT sum(x) FROM (SELECT DISTINCT lang, p_lang AS x FROM s)) AS t_lang,
+             total * p_topic / (SELECT sum(x) FROM (SELECT DISTINCT topic, p_topic AS x FROM s)) AS t_topic FROM s),
+f(k, source, lang, topic, tokens, t_source, t_lang, t_topic, w) AS (
+  SELECT 0, source, lang, topic, tokens, t_source, t_lang, t_topic, tokens FROM g
+  UNION ALL
+  SELECT k + 1, source, lang, topic, tokens, t_source, t_lang, t_topic, w * t_topic / sum(w) OVER (PARTITION BY topic) FROM (
+    SELECT * REPLACE (w * t_lang / sum(w) OVER (PARTITION BY lang) AS w) FROM (
+      SELECT * REPLACE (w * t_source / sum(w) OVER (PARTITION BY source) AS w) FROM f WHERE k < {mixing.SWEEPS}))),
+m AS (SELECT source, lang, topic, w / tokens AS weight FROM f WHERE k = {mixing.SWEEPS})
+SELECT e.doc_id, e.source, e.lang, e.tokens, round(weight, 6) AS weight, round(least(weight, 1), 6) AS probability,
+       floor(weight) + CAST(draw < weight - floor(weight) AS INTEGER) > 0 AS sampled,
+       CAST(floor(weight) AS BIGINT) + CAST(draw < weight - floor(weight) AS BIGINT) AS copies
+FROM e JOIN m ON e.source IS NOT DISTINCT FROM m.source AND e.lang IS NOT DISTINCT FROM m.lang AND e.topic = m.topic
+"""

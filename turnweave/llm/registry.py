@@ -23,5 +23,7 @@ ORACLE_SQL = {
     "op1_exact_dedup": q.OP1_SQL,
     "op3_chat_formatting": q.OP3_SQL,
     "op4_license_scan": q.OP4_SQL,
+    "op7_sharding": q.OP7_SQL,
     "op9_quality_rules": q.OP9_SQL,
+    "op10_mixing": q.OP10_SQL,
 }

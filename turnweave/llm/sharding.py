@@ -6,7 +6,8 @@ holds the mixture of the whole; shards are contiguous cuts of equal length (law
 
 No rank is taken over a whole source or table. Rows are counted by (source, bucket), a bucket being a range of the hash;
 a row's rank is the count of the buckets before its own plus its place in its own. The place of a row in the whole order
-follows likewise from ranges of the fractional rank, whose counts have a closed form in the rows of each source.
+follows likewise from ranges of the fractional rank. Rows that are alike in all that tells rows apart are counted before
+they are dealt, so no bucket holds more of them than one.
 """
 
 from __future__ import annotations
@@ -14,9 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a bucket holds on average while there are fewer than MOST_BUCKETS; cells of (source, bucket) at most.
-BUCKET_ROWS, MOST_BUCKETS, MOST_CELLS = 2000, 1 << 16, 1 << 24
-_HASH_BITS = 40
+from turnweave.llm._session import cut
+
+#: Rows that a bucket or range holds on average while there are fewer than MOST_BUCKETS of them.
+BUCKET_ROWS, MOST_BUCKETS = 2000, 1 << 16
+#: Hexadecimal digits of the digest by which rows are shuffled.
+_DIGITS = 10
 
 
 def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "source") -> DataFrame:
@@ -24,28 +28,28 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
 
     ``size`` is the text's UTF-8 length plus 1, ``text_crc32`` the unsigned checksum of its UTF-8 bytes; a null text
     counts as empty. A null source is a source of its own. Shards' row counts differ by one at most and ``slot`` numbers
-    a shard's rows from 0. Rows are told apart by id, then checksum and size; rows alike in all of these and in source
-    are interchangeable. ``grown_shard`` is null: the law ``rows`` makes no promise about another shard count. An empty
-    table gives an empty result. Rows with one id share a bucket, so ids should be mostly distinct, as keys are.
+    a shard's rows from 0. Rows are shuffled by a digest of seed, id and text (nulls count as empty), then by id,
+    checksum and size; rows alike in all of these and in source are interchangeable. ``grown_shard`` is null: the law
+    ``rows`` makes no promise about another shard count. An empty table gives an empty result; other columns are ignored.
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text)))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.col(stratum_col).cast("string").alias("stratum"),
         (F.octet_length(text).cast("bigint") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("crc"),
-        F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 64 - _HASH_BITS).alias("h"),
+        F.conv(F.left(digest, F.lit(_DIGITS)), 16, 10).cast("bigint").alias("h"),
     )
-    strata = rows.groupBy("stratum").agg(F.count("*").alias("n"))
-    summary = strata.agg(F.sum("n"), F.count("*")).first()
-    total, n_strata = summary[0] or 0, max(1, summary[1])
-    buckets = max(1, min(total // BUCKET_ROWS, MOST_BUCKETS, MOST_CELLS // n_strata))
+    alike = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("copies")))
+    total = alike.agg(F.sum("copies")).first()[0] or 0
+    buckets = max(1, min(total // BUCKET_ROWS, MOST_BUCKETS))
 
-    rows = rows.withColumn("bucket", F.shiftright(F.col("h") * buckets, _HASH_BITS))
+    alike = alike.withColumn("bucket", F.shiftright(F.col("h") * buckets, 4 * _DIGITS))
     before = Window.partitionBy("stratum").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("stratum", "bucket").agg(F.count("*").alias("here"))
+    cells = alike.groupBy("stratum", "bucket").agg(F.sum("copies").alias("here"))
     cells = cells.select(
         F.col("stratum").alias("s"),
         F.col("bucket").alias("b"),
@@ -53,19 +57,17 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 7, id_col: str = "
         F.sum("here").over(Window.partitionBy("stratum")).alias("n"),
     )
     order = ["h", "id", "crc", "size"]
-    ranked = rows.join(cells, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    place = F.row_number().over(Window.partitionBy("stratum", "bucket").orderBy(*order))
-    ranked = ranked.withColumn("rank", F.col("earlier") + place)
+    ranked = alike.join(cells, F.col("stratum").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    up_to = F.sum("copies").over(Window.partitionBy("stratum", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranked.withColumn("last", F.col("earlier") + up_to)
+    ranked = ranked.withColumn("rank", F.explode(F.sequence(F.col("last") - F.col("copies") + 1, F.col("last"))))
     # (rank - 1/2) / n in units of 1 / buckets, in whole numbers
     ranked = ranked.withColumn("range", F.expr(f"((2 * rank - 1) * {buckets}) div (2 * n)"))
+    ranked = cut(ranked.select("id", "stratum", "size", "crc", "h", "rank", "n", "range"))
 
-    # of n rows, those of the ranges before k are the ranks under ceil((2 n k + buckets) / (2 buckets))
-    starts = (
-        strata.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(buckets - 1).cast("bigint"))))
-        .groupBy("k")
-        .agg(F.sum(F.expr(f"(2 * n * k + 3 * {buckets} - 1) div (2 * {buckets}) - 1")).alias("earlier_ranges"))
-    )
-    placed = ranked.join(starts, F.col("range") == F.col("k"))
+    counts = ranked.groupBy("range").agg(F.count("*").alias("here"))
+    starts = counts.select(F.col("range").alias("k"), F.coalesce(F.sum("here").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier_ranges"))
+    placed = ranked.join(F.broadcast(starts), F.col("range") == F.col("k"))  # MOST_BUCKETS rows at most
     fraction = (2 * F.col("rank") - 1) / (2 * F.col("n"))
     within = F.row_number().over(Window.partitionBy("range").orderBy(fraction, "stratum", *order))
     placed = placed.withColumn("at", F.col("earlier_ranges") + within - 1)
