@@ -92,17 +92,64 @@ def test_coordinates_agree_as_often_as_weighted_jaccard():
     b = a[:220] + [f"v{rng.randint(0, 30)}" for _ in range(80)]
     sets = [Counter(tuple(x[k : k + 5]) for k in range(296)) for x in (a, b)]
     true = sum((sets[0] & sets[1]).values()) / sum((sets[0] | sets[1]).values())
-    units, rows = nd.shingles(*_words.word_hashes(pa.array([" ".join(a), " ".join(b)])))
-    assert len(units) == 592 and len(np.unique(units)) == sum((sets[0] | sets[1]).values())
-    signature = nd.signatures(units, rows, 2, k=4000)
+    elements, rows, often = nd.shingles(*_words.word_hashes(pa.array([" ".join(a), " ".join(b)])))
+    assert often.sum() == 592 and len(np.unique(elements)) == len(sets[0] | sets[1])
+    signature = nd.signatures(elements, nd.WEIGHTS["count"](often), rows, 2, k=4000)
     assert abs((signature[0] == signature[1]).mean() - true) < 4 * (true * (1 - true) / 4000) ** 0.5
 
 
+@pytest.mark.parametrize("scale", [0.3, 1.0, 40.0])
+def test_real_weights(scale):
+    """Weights of any size and unlike each other; the cost does not follow the total weight."""
+    rng = np.random.default_rng(5)
+    elements, k = rng.integers(0, 1 << 63, 60).astype(np.uint64), 6000
+    x, y = rng.lognormal(0, 1, 60) * scale, rng.lognormal(0, 1, 60) * scale
+    x[:20], y[40:] = y[:20], 0
+    present = y > 0
+    true = np.minimum(x, y).sum() / np.maximum(x, y).sum()
+    rows = np.concatenate([np.zeros(60, np.int64), np.ones(int(present.sum()), np.int64)])
+    signature = nd.signatures(np.concatenate([elements, elements[present]]), np.concatenate([x, y[present]]), rows, 2, k)
+    assert abs((signature[0] == signature[1]).mean() - true) < 4 * (true * (1 - true) / k) ** 0.5
+
+
+def block_made(n, seed=6):
+    """Documents of 9 of 12 blocks of words each, in order: most pairs are alike, few reach the similarity."""
+    rng = random.Random(seed)
+    blocks = [" ".join(f"b{k}w{rng.randint(0, 99999)}" for _ in range(25)) for k in range(12)]
+    return [(i, " ".join(blocks[k] for k in sorted(rng.sample(range(12), 9))) + " " + " ".join(f"own{i}x{m}" for m in range(rng.choice([1, 8]))), "", 0) for i in range(n)]
+
+
+def test_candidate_rows_are_linear(spark, monkeypatch):
+    rows = {}
+    for n in (200, 400, 800):
+        seen = []
+        plain = nd.searched
+        monkeypatch.setattr(nd, "searched", lambda regions, sets, plain=plain, seen=seen: (seen.append(regions.count()), plain(regions, sets))[1])
+        docs = block_made(n)
+        found = {r.doc_id: r.class_id for r in nd.near_dedup(spark.createDataFrame(docs, SCHEMA)).collect()}
+        monkeypatch.setattr(nd, "searched", plain)
+        rows[n] = seen[0]
+        if n == 200:
+            assert found == brute(docs)
+    assert all(seen <= n for n, seen in rows.items())
+
+
+def test_log_weights_and_long_texts(spark):
+    long = " ".join(f"w{n % 7000}" for n in range(60_000))
+    rows = [(1, long, "", 0), (2, long + " and more", "", 0), (3, "one two three four five six " * 40, "", 0), (4, "one two three four five six " * 60, "", 0)]
+    found = lambda weight: {r.doc_id: r.class_id for r in nd.near_dedup(spark.createDataFrame(rows, SCHEMA), weight=weight).collect()}
+    assert found("count") == {1: 1, 2: 1, 3: 3, 4: 4} and found("log") == {1: 1, 2: 1, 3: 3, 4: 3}
+
+
 def test_signature_does_not_depend_on_the_batch():
     texts = ["a b c d e f g", "x", None, "a b c d e f g h i j " * 50]
-    whole = nd.signatures(*nd.shingles(*_words.word_hashes(pa.array(texts))), 4)
+    def signed(texts):
+        elements, rows, often = nd.shingles(*_words.word_hashes(pa.array(texts, pa.string())))
+        return nd.signatures(elements, nd.WEIGHTS["count"](often), rows, len(texts))
+
+    whole = signed(texts)
     for n, t in enumerate(texts):
-        alone = nd.signatures(*nd.shingles(*_words.word_hashes(pa.array([t], pa.string()))), 1)
+        alone = signed([t])
         assert (alone[0] == whole[n]).all()
 
 
