@@ -6,8 +6,10 @@ import gc
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,26 +25,30 @@ _shipped: set[str] = set()
 
 
 def prepare(spark: SparkSession) -> None:
-    """What operators that run Python on the executors need: this package there, and bounded Arrow batches.
-
-    The session's batch limits are lowered where they are looser than ours.
-    """
-    if (application := spark.sparkContext.applicationId) not in _shipped:
-        package = Path(__file__).parents[1]
-        archive = os.path.join(tempfile.mkdtemp(), f"{package.name}.zip")
+    """Ship this package to the executors, once an application: what operators that run Python there need."""
+    if (application := spark.sparkContext.applicationId) in _shipped:
+        return
+    package = Path(__file__).parents[1]
+    with tempfile.TemporaryDirectory() as folder:
+        archive = os.path.join(folder, f"{package.name}.zip")
         with zipfile.ZipFile(archive, "w") as out:
             for source in sorted(package.rglob("*.py")):
                 out.write(source, source.relative_to(package.parent))
         spark.sparkContext.addPyFile(archive)
-        _shipped.add(application)
-    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        key = f"spark.sql.execution.arrow.{key}"
-        try:
-            now = int(str(spark.conf.get(key)).rstrip("b"))
-        except ValueError:
-            now = 0
-        if not 0 < now <= most:
-            spark.conf.set(key, str(most))
+    _shipped.add(application)
+
+
+def bounded(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same over batches of at most BATCH_ROWS rows, and BATCH_BYTES on average, whatever the session's limits are."""
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = max(1, -(-batch.nbytes // BATCH_BYTES), -(-batch.num_rows // BATCH_ROWS))
+            step = max(1, -(-batch.num_rows // parts))
+            for start in range(0, batch.num_rows, step):
+                yield batch.slice(start, step)
+
+    return lambda batches: run(split(batches))
 
 
 def checkpoint_dir(spark: SparkSession) -> None:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import prepare
+from turnweave.llm._session import bounded, prepare
 
 #: Bytes that one table may hold, what an entry takes besides its content (objects, list places, slots), and the number
 #: of scratch files of one level (a hexadecimal digit).
@@ -196,9 +196,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    folded = rows.mapInArrow(_fold, "digest binary, content binary, keep bigint, copies bigint")
-    groups = folded.repartition("digest").mapInArrow(_bucket, "digest binary, keep_id bigint, group_size bigint")
-    members = rows.mapInArrow(_digests, "id bigint, digest binary")
+    folded = rows.mapInArrow(bounded(_fold), "digest binary, content binary, keep bigint, copies bigint")
+    groups = folded.repartition("digest").mapInArrow(bounded(_bucket), "digest binary, keep_id bigint, group_size bigint")
+    members = rows.mapInArrow(bounded(_digests), "id bigint, digest binary")
     # of rows with one id and one text, the first stays
     nth = F.row_number().over(Window.partitionBy("digest", "id").orderBy(F.lit(0)))
     members = members.withColumn("nth", nth)

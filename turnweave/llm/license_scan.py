@@ -82,7 +82,7 @@ def _passages(f: DataFrame, known: list[tuple], dice: float) -> DataFrame:
     # every column that a lambda refers to is pinned, or each element would compute it anew
     step = lambda f, name, sql: f.withColumn(name, pinned(F.expr(sql)))
     grams = list(dict.fromkeys(g for k in known for g in k[3]))
-    low = F.lower("_text")
+    low = F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     f = f.withColumn("_low", pinned(F.when(low.rlike(anchor_pattern([k[3] for k in known], dice)), low)))
     f = step(f, "_by_line", "transform(split(_low, '\n', -1), l -> filter(split(l, '[^a-z0-9]+'), w -> w <> ''))")
     f = step(f, "_at", "flatten(transform(_by_line, (ws, i) -> array_repeat(i, size(ws))))")
@@ -126,7 +126,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice:
 
     ``notices`` lists (line, template, licence, dice), the line counted from 0, of each line's best template with at
     least ``dice``; of equal ones the first. ``licence`` and ``dice`` are those of the best line, the first of equal
-    ones, or null. A null or empty text has no lines that match. The scan is the only stage.
+    ones, or null. A null or empty text has no lines that match. Repeated rows and rows without an id are scanned each;
+    an empty table gives an empty result; other columns are ignored. The scan is the only stage.
 
     ``passages`` lists in the same form, by place, what lines alone do not show: windows of the text's words, within a
     line or over several, of as many bigrams as the bound allows (repeats counted), with at least ``dice``. Of windows
@@ -143,7 +144,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dice:
     f = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
     f = f.withColumn("_lines", F.expr("transform(_lines, (l, i) -> named_struct('line', i, 'text', l))"))
     f = f.withColumn("_lines", F.expr(f"filter(_lines, l -> char_length(l.text) > {low}D)"))
-    f = f.withColumn("_lines", F.expr("transform(_lines, l -> named_struct('line', l.line, 'words', filter(split(lower(l.text), '[^a-z0-9]+'), w -> w <> '')))"))
+    f = f.withColumn("_lines", F.expr("transform(_lines, l -> named_struct('line', l.line, 'words', filter(split(translate(l.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), w -> w <> '')))"))
     # n words have n - 1 bigrams at most, and n different words n - 1 different bigrams at least
     f = f.withColumn("_lines", F.expr(f"filter(_lines, l -> size(l.words) - 1 >= {low}D AND (size(l.words) - 1 <= {high}D OR size(array_distinct(l.words)) - 1 <= {high}D))"))
     f = f.withColumn("_lines", F.expr("transform(_lines, l -> named_struct('line', l.line, 'bigrams', array_distinct(transform(slice(l.words, 2, size(l.words)), (w, i) -> concat(l.words[i], ' ', w)))))"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import cut, prepare, release
+from turnweave.llm._session import bounded, cut, prepare, release
 from turnweave.llm._words import mix, word_hashes
 
 SHINGLE_WORDS = 5
@@ -228,7 +228,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("ea"), F.col("weights").alias("wa"), F.col("size").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("eb"), F.col("weights").alias("wb"), F.col("size").alias("sb"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "ea", "wa", "sa", "eb", "wb", "sb")
-    return cut(full.mapInArrow(_similar, "a bigint, b bigint"))
+    return cut(full.mapInArrow(bounded(_similar), "a bigint, b bigint"))
 
 
 def _search(members: pa.Table, queries: pa.Table) -> pa.Table:
@@ -343,16 +343,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     prepare(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signed(weight), "id bigint, content binary, keys array<bigint>"))
+    signed = cut(texts.mapInArrow(bounded(_signed(weight)), "id bigint, content binary, keys array<bigint>"))
     # of copies the lowest id stands for all; their signatures are the same
     nodes = signed.groupBy("content").agg(F.min("id").alias("node"), F.first("keys").alias("keys"))
     banded = nodes.where("node IS NOT NULL").select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("lowest"), F.max("node").alias("highest")).where("lowest < highest")
     members = cut(banded.join(buckets, "key").select("key", "node", "lowest", "highest"))
     in_buckets = members.select("node").distinct()
-    sets = cut(texts.join(in_buckets, F.col("id") == F.col("node"), "left_semi").mapInArrow(_sets(weight), "id bigint, elements binary, weights binary, size double"))
+    sets = cut(texts.join(in_buckets, F.col("id") == F.col("node"), "left_semi").mapInArrow(bounded(_sets(weight)), "id bigint, elements binary, weights binary, size double"))
     # elements that no other document of the buckets has
-    own = sets.mapInArrow(_exploded, "id bigint, element bigint, weight double").groupBy("element").agg(F.min("id").alias("node"), F.max("id").alias("other"), F.max("weight").alias("weight"))
+    own = sets.mapInArrow(bounded(_exploded), "id bigint, element bigint, weight double").groupBy("element").agg(F.min("id").alias("node"), F.max("id").alias("other"), F.max("weight").alias("weight"))
     own = own.where("node = other").groupBy("node").agg(F.sum("weight").alias("own"))
     sizes = sets.groupBy(F.col("id").alias("node")).agg(F.min("size").alias("size"), F.max("size").alias("most"), F.count("*").alias("texts"))
     common = F.when(F.col("texts") == 1, F.col("size") - F.coalesce("own", F.lit(0.0))).otherwise(F.col("most"))  # of several texts, a bound that holds for each

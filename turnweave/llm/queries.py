@@ -95,7 +95,7 @@ OP4_SQL = f"""
 WITH t(n, licence, grams) AS (VALUES {_TEMPLATES}),
 d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, unnest(range(len(ls))) AS line, unnest(ls) AS text FROM d),
-w AS (SELECT r, line, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM l),
+w AS (SELECT r, line, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM l),
 g AS (SELECT r, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS b FROM w WHERE len(ws) > 1),
 m AS (SELECT r, line, licence, CAST(2 AS DOUBLE) * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice, len(grams) AS size, n FROM g, t WHERE len(b) < 100),
 o AS (SELECT r, line, licence, dice FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, size, n) AS nth FROM m WHERE dice >= CAST({license_scan.DICE} AS DOUBLE)) WHERE nth = 1),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import cut, prepare
+from turnweave.llm._session import bounded, cut, prepare
 from turnweave.llm._words import NOT_ALPHANUMERIC, lowered, mix, span_hash, windows
 
 #: The fit's bound: labelled rows that serve as examples.
@@ -287,7 +287,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    frequencies = texts.select("text").mapInArrow(_frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    frequencies = texts.select("text").mapInArrow(bounded(_frequencies), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     total = texts.count()
     shared = frequencies.where(F.col("n").between(shares[0] * total, max(shares[1] * total, FEW_DOCUMENTS))).toPandas()  # see LEAST_SHARE
     terms, n = shared["term"].to_numpy(np.int64).view(_U), shared["n"].to_numpy(np.int64)
@@ -301,7 +301,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labelled = texts.join(F.broadcast(examples), F.col("id") == F.col("example"))  # max_examples rows at most
     labelled = labelled.groupBy("id", "toxic").agg(F.max("text").alias("text"))
     shipped = spark.sparkContext.broadcast(vocabulary)
-    vectors = cut(labelled.mapInArrow(_vectors(shipped), "id bigint, toxic int, features array<int>, counts array<int>"))
+    vectors = cut(labelled.mapInArrow(bounded(_vectors(shipped)), "id bigint, toxic int, features array<int>, counts array<int>"))
     known = vectors.orderBy("id").toPandas()  # max_examples rows at most
     ids, toxic = known["id"].to_numpy(np.int64), known["toxic"].to_numpy(np.int64)
     empty = np.concatenate([np.zeros(0, np.int64), *known["features"]]).astype(np.int64), np.concatenate([np.zeros(0, np.int64), *known["counts"]]).astype(np.int64)
@@ -314,10 +314,10 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if 0 < toxic.sum() < len(toxic):
         index.build(ids, toxic, ends, empty[0], index.unit(ends, *empty))
         some = vectors.where(F.size("features") > 0)
-        votes = some.mapInArrow(_own_votes(spark.sparkContext.broadcast(index)), "toxic int, vote double").toPandas()
+        votes = some.mapInArrow(bounded(_own_votes(spark.sparkContext.broadcast(index))), "toxic int, vote double").toPandas()
         index.calibrate(votes["vote"].to_numpy(float), votes["toxic"].to_numpy(np.int64))
     else:
         index.without = index.base
     kind = "id bigint, score double, evidence array<struct<doc_id: bigint, cosine: double, toxic: int>>, known boolean"
-    found = texts.mapInArrow(_scored(spark.sparkContext.broadcast(index)), kind)
+    found = texts.mapInArrow(bounded(_scored(spark.sparkContext.broadcast(index))), kind)
     return found.select(F.col("id").alias(id_col), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
