@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -29,12 +31,14 @@ def prepare(spark: SparkSession) -> None:
     if (application := spark.sparkContext.applicationId) in _shipped:
         return
     package = Path(__file__).parents[1]
-    with tempfile.TemporaryDirectory() as folder:
-        archive = os.path.join(folder, f"{package.name}.zip")
-        with zipfile.ZipFile(archive, "w") as out:
-            for source in sorted(package.rglob("*.py")):
-                out.write(source, source.relative_to(package.parent))
-        spark.sparkContext.addPyFile(archive)
+    # the driver hands the archive to each executor that joins, as long as it runs
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, f"{package.name}.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
     _shipped.add(application)
 
 
