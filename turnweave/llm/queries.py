@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm import chat, license_scan, mixing, packing, pii, quality, toxicity
+from turnweave.llm import chat, license_scan, mixing, packing, pii, prefix_trie, quality, spelling, toxicity
 from turnweave.llm._session import table
 from turnweave.llm.exact_dedup import exact_dedup
 from turnweave.llm.near_dedup import near_dedup
@@ -217,3 +217,61 @@ SELECT e.doc_id, e.source, e.lang, e.tokens, round(weight, 6) AS weight, round(l
        CAST(floor(weight) AS BIGINT) + CAST(draw < weight - floor(weight) AS BIGINT) AS copies
 FROM e JOIN m ON e.source IS NOT DISTINCT FROM m.source AND e.lang IS NOT DISTINCT FROM m.lang AND e.topic = m.topic
 """
+
+
+#: Of so many words one gets a typing slip.
+SLIP_EVERY = 31
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), slip_every=SLIP_EVERY))
+
+
+OP11_SQL = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT id, run, count(*) AS n, list_transform(regexp_extract_all(hex(encode(id || ':' || run)), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bs FROM r WHERE length(run) >= 7 GROUP BY id, run),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) AS h FROM g, t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY ALL),
+v AS (SELECT word, n FROM w WHERE length(word) >= 7 AND n >= 2),
+k AS (SELECT DISTINCT word, n, key FROM (SELECT word, n, unnest(list_append(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)), word)) AS key FROM v)),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+b AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM p GROUP BY word, n),
+f AS (SELECT v.word, CASE WHEN other_n >= 10 * v.n THEN other END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
+c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.root, f.n, f.n_near, f.form_n
+FROM f JOIN c ON f.word = c.word JOIN f AS last ON c.root = last.word AND last.form IS NULL
+"""
+
+
+#: Conversations of so many neighbouring ids share a beginning of fewer turns than HEADS.
+SIBLINGS, HEADS = 5, 9
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.paths(table(spark, sf_dir, "conversations"))
+    first = F.col("conv_id") - F.col("conv_id") % SIBLINGS
+    heads = own.where(F.col("conv_id") == first).select(F.col("conv_id").alias("first"), F.slice("turns", 1, HEADS - 1).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % HEADS).cast("int")
+    rebuilt = own.join(heads, first == F.col("first"), "left")
+    none = F.slice("turns", 1, 0)
+    turns = F.concat(F.slice(F.coalesce("head", none), F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    return prefix_trie.trie(rebuilt.select("conv_id", turns.alias("turns")))
+
+
+OP13_SQL = """
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY turn NULLS FIRST, left(sha256(length(role) || ':' || role || text), 32)) AS ts,
+             list_transform(regexp_extract_all(hex(encode(CAST(conv_id AS VARCHAR))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bs FROM m GROUP BY conv_id),
+h AS (SELECT conv_id, ts, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295) % 9 AS h FROM o, t),
+r AS (SELECT h.conv_id, list_concat(coalesce(o.ts, [])[1:h.h], h.ts[h.h + 1:]) AS ts FROM h LEFT JOIN o ON o.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, len(ts) AS size, d AS depth, ts[1:d] AS path FROM (SELECT conv_id, ts, unnest(range(len(ts) + 1)) AS d FROM r)),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (size = depth), '') AS ends FROM p GROUP BY path, depth),
+c AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+x AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c ON n.path = c.path AND n.depth = c.depth),
+u AS (SELECT path[1:e] AS path, e AS depth, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * strlen(path[depth].t) END) AS BIGINT) AS saved_tokens
+      FROM (SELECT *, unnest(range(depth + 1)) AS e FROM x) GROUP BY ALL)
+SELECT x.conv_id, x.depth, q.conv_id AS parent_conv_id, x.n_convs, x.n_children, u.n_leaves, u.saved_tokens, sha256(x.ends) AS ends_sha256
+FROM x JOIN u ON x.path = u.path AND x.depth = u.depth LEFT JOIN n q ON q.path = x.path[1:x.depth - 1] AND q.depth = x.depth - 1
+"""

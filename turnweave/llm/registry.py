@@ -16,6 +16,8 @@ QUERIES = {
     "op8_near_dedup": q.op8_near_dedup,
     "op9_quality_rules": q.op9_quality_rules,
     "op10_mixing": q.op10_mixing,
+    "op11_spelling_variants": q.op11_spelling_variants,
+    "op13_prefix_trie": q.op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -26,4 +28,6 @@ ORACLE_SQL = {
     "op7_sharding": q.OP7_SQL,
     "op9_quality_rules": q.OP9_SQL,
     "op10_mixing": q.OP10_SQL,
+    "op11_spelling_variants": q.OP11_SQL,
+    "op13_prefix_trie": q.OP13_SQL,
 }
