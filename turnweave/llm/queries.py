@@ -235,7 +235,8 @@ h AS (SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs
 w AS (SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM h GROUP BY ALL),
 v AS (SELECT word, n FROM w WHERE length(word) >= 7 AND n >= 2),
 k AS (SELECT DISTINCT word, n, key FROM (SELECT word, n, unnest(list_append(list_transform(range(1, length(word) + 1), lambda i: left(word, i - 1) || substr(word, i + 1)), word)) AS key FROM v)),
-p AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word WHERE levenshtein(a.word, b.word) = 1),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS other_n FROM k a JOIN k b ON a.key = b.key AND a.word <> b.word
+      WHERE length(a.word) <> length(b.word) OR len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i, 1) <> substr(b.word, i, 1))) = 1),
 b AS (SELECT word, n, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM p GROUP BY word, n),
 f AS (SELECT v.word, CASE WHEN other_n >= 10 * v.n THEN other END AS form, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
 c AS (SELECT word, word AS root FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON c.root = f.word WHERE f.form IS NOT NULL)

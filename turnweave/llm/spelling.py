@@ -135,7 +135,7 @@ def near_words(words: DataFrame) -> DataFrame:
     prepare(words.sparkSession)
     is_long = F.char_length("word") > TEXT
     # a long word goes by its digest, or its rotations would hold the square of its length
-    named = words.select(F.when(is_long, F.concat(F.lit("#"), F.sha2("word", 256))).otherwise(F.col("word")).alias("id"), "word", "n")
+    named = cut(words.select(F.when(is_long, F.concat(F.lit("#"), F.sha2("word", 256))).otherwise(F.col("word")).alias("id"), "word", "n"))  # read for rotations, texts and words alone
     long = named.where(F.char_length("word") >= TEXT)
     texts = named.where(is_long).select(F.col("id").alias("long_id"), F.col("word").alias("long_word"))
     rotations = _rotations(named).unionByName(long.mapInArrow(bounded(_long_rotations), _ROTATION))
