@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnweave.llm import chat, license_scan, mixing, packing, pii, prefix_trie, quality, spelling, toxicity
+from turnweave.llm import chat, license_scan, mixing, packing, pii, prefix_trie, quality, quality_classifier, spelling, toxicity
 from turnweave.llm._session import table
 from turnweave.llm.exact_dedup import exact_dedup
 from turnweave.llm.near_dedup import near_dedup
@@ -245,6 +245,13 @@ FROM f JOIN c ON f.word = c.word JOIN f AS last ON c.root = last.word AND last.f
 """
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "quality")
+    found = quality_classifier.score(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 #: Conversations of so many neighbouring ids share a beginning of fewer turns than HEADS.
 SIBLINGS, HEADS = 5, 9
 

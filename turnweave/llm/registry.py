@@ -17,6 +17,7 @@ QUERIES = {
     "op9_quality_rules": q.op9_quality_rules,
     "op10_mixing": q.op10_mixing,
     "op11_spelling_variants": q.op11_spelling_variants,
+    "op12_quality_classifier": q.op12_quality_classifier,
     "op13_prefix_trie": q.op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
