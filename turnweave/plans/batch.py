@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.plans.transcripts import BIN_SECONDS, transcript
+from turnweave.plans.transcripts import transcript
 from turnweave.sources import documents
 from turnweave.sources.backends import Backend
 from turnweave.sources.sinks import write_partitioned
 
 
-def lines(spark: SparkSession, recordings: DataFrame, speech: Backend, speakers: Backend | None = None, bin_seconds: float | None = BIN_SECONDS) -> DataFrame:
+def lines(spark: SparkSession, recordings: DataFrame, speech: Backend, speakers: Backend | None = None) -> DataFrame:
     """Lines ``rec, pos, line`` of the recordings (``rec, path``), labelled if there is a source of speakers.
 
     Fails if two recordings share a stem, or if one has no document or more than one.
@@ -23,7 +23,7 @@ def lines(spark: SparkSession, recordings: DataFrame, speech: Backend, speakers:
         return found
 
     segments = documents.segments(read(speech))
-    return transcript(segments, documents.turns(read(speakers)) if speakers else None, bin_seconds)
+    return transcript(segments, documents.turns(read(speakers)) if speakers else None)
 
 
 def transcribe(spark: SparkSession, recordings: DataFrame, folder: str, speech: Backend, speakers: Backend | None = None) -> None:

@@ -88,7 +88,7 @@ def speaker_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def speaker_assign_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = overlap.assign_speakers(*_tables(spark, sf_dir), bin_seconds=32.0)
+    found = overlap.assign_speakers(*_tables(spark, sf_dir), cell_seconds=32.0)
     return _back(found).select("rec", "pos", "st", "en", "speaker")
 
 

@@ -13,15 +13,11 @@ def plain(segments: DataFrame) -> DataFrame:
     return segments.select("rec", "pos", plain_line(F.col("start"), strip(F.col("text"))).alias("line"))
 
 
-#: Time bins in which segments and turns meet, so that one very long recording is spread over tasks.
-BIN_SECONDS = 32.0
-
-
-def labelled(segments: DataFrame, turns: DataFrame, bin_seconds: float | None = BIN_SECONDS) -> DataFrame:
-    found = assign_speakers(segments, turns, bin_seconds)
+def labelled(segments: DataFrame, turns: DataFrame) -> DataFrame:
+    found = assign_speakers(segments, turns)
     return found.select("rec", "pos", labelled_line(F.col("speaker"), F.col("start"), strip(F.col("text"))).alias("line"))
 
 
-def transcript(segments: DataFrame, turns: DataFrame | None = None, bin_seconds: float | None = BIN_SECONDS) -> DataFrame:
+def transcript(segments: DataFrame, turns: DataFrame | None = None) -> DataFrame:
     """Labelled lines if there are turns to label by, else plain ones."""
-    return plain(segments) if turns is None else labelled(segments, turns, bin_seconds)
+    return plain(segments) if turns is None else labelled(segments, turns)
