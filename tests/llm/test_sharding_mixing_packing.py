@@ -65,7 +65,8 @@ def test_fit_meets_targets():
     rng = random.Random(3)
     cells = {(s, x, t): rng.uniform(1, 100) for s in "abc" for x in "de" for t in "fgh"}
     targets = [{"a": 0.5, "b": 0.3, "c": 0.2}, {"d": 0.6, "e": 0.4}, {"f": 0.1, "g": 0.1, "h": 0.8}]
-    fitted = mixing.fit(cells, targets)
+    fitted, worst = mixing.fit(cells, targets)
+    assert worst < mixing.TOLERANCE
     for axis, target in enumerate(targets):
         for value, share in target.items():
             assert abs(sum(w for k, w in fitted.items() if k[axis] == value) / sum(fitted.values()) - share) < 1e-6
@@ -88,18 +89,55 @@ def test_mix(spark, targets):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("driver_cells", [0, 1000])
+def test_targets_of_zero_absent_and_contradicting(spark, driver_cells):
+    rows = [(i, "x" * (40 + i % 7), "en" if i % 3 else "de", "ab"[i % 2], 1) for i in range(600)] + [(900, None, "fr", "c", 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, weight int")
+    axes = lambda: {"source": F.col("source"), "lang": F.col("lang")}
+
+    def shares(targets, axis, **more):
+        found = mixing.mix(docs, axes(), targets, driver_cells=driver_cells, **more).select("source", "lang", "mix.*").collect()
+        assert len(found) == len(rows) and all(r.weight >= 0 for r in found)
+        sums = Counter()
+        for r in found:
+            sums[r[axis]] += r.weight * r.tokens
+        return {k: v / sum(sums.values()) for k, v in sums.items()}, found
+
+    got, found = shares({"source": {"a": 1.0, "b": 0.0}, "lang": {"en": 1.0, "de": 1.0, "fr": 0.0}}, "source", strict=True)
+    assert abs(got["a"] - 1) < 1e-6 and got["b"] == 0 and all(r.copies == 0 and not r.sampled for r in found if r.source == "b")
+    tokens = Counter()
+    for r in found:
+        tokens[r.source] += r.tokens
+    got, _ = shares({"source": {"a": 3.0, "b": 1.0, "nowhere": 6.0, None: 2.0}}, "source", sweeps=8)
+    assert abs(got["a"] / got["b"] - 3) < 1e-2
+    if driver_cells:
+        got, _ = shares({"source": {"b": 0.0}, "lang": {"en": 2.0, "de": 1.0, "fr": 0.01}}, "source")
+        assert got["b"] == 0 and abs(got["a"] / got["c"] - tokens["a"] / tokens["c"]) < 0.3 * tokens["a"] / tokens["c"]
+    # all of c is in French, so neither can have its share while the other has another one
+    contradiction = {"source": {"a": 0.5, "b": 0.5, "c": 0.0}, "lang": {"en": 0.4, "de": 0.4, "fr": 0.2}}
+    with pytest.warns(UserWarning, match="apart after 2 sweeps"):
+        shares(contradiction, "source", sweeps=2)
+    with pytest.raises(ValueError, match="apart"):
+        shares(contradiction, "source", sweeps=2, strict=True)
+    for bad in ({"source": {"a": -1.0}}, {"source": {"a": float("nan")}}, {"colour": {"a": 1.0}}, {"source": {"a": 0.0, "b": 0.0, "c": 0.0}}):
+        with pytest.raises(ValueError):
+            shares(bad, "source")
+
+
 def test_topics_are_words(spark):
-    rows = [(n, f"{'apple' if n % 20 == 0 else 'xx'} Banana{'' if n % 12 else ' BANANA apple'} {'apples' if n % 25 == 0 else ''} every", "") for n in range(300)]
-    rows = [(n, t if n % 12 == 0 or n % 25 == 0 or n % 20 == 0 else "every", s) for n, t, s in rows] + [(None, None, ""), (-1, "", "")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    rows = [(n, f"{'apple' if n % 20 == 0 else 'xx'} Banana{'' if n % 12 else ' BANANA'} {'apples' if n % 25 == 0 else ''} every", "") for n in range(300)]
+    rows = [(n, t if n % 12 == 0 or n % 25 == 0 or n % 20 == 0 else "every", s) for n, t, s in rows] + [(None, None, ""), (-1, "", ""), (-2, "apple apples apples pineapple", "")] + [(-9 - n, "élans élans apple", "") for n in range(9)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id bigint, text string, source string, lang string")
     words = mixing.topic_words(docs)
-    lists = [re.findall("[a-z]{5,}", (t or "").lower()) for _, t, _ in rows]
+    lists = [re.findall("[a-zé]{5,}", (t or "").lower()) for _, t, _ in rows]
     df = Counter(w for x in lists for w in set(x))
-    assert words == sorted((w for w, n in df.items() if 0.01 * 302 <= n <= 0.1 * 302), key=lambda w: (-df[w], w))[: mixing.TOPICS] != []
-    found = docs.select("doc_id", mixing.topic(F.col("text"), words).alias("topic")).collect()
-    for r, (_, t, _) in zip(found, rows):
-        times = [(-(t or "").lower().count(w), n, w) for n, w in enumerate(words) if w in (t or "").lower()]
-        assert r.topic == (min(times)[2] if times else "other")
+    assert {"apple", "apples", "élans"} < set(words)
+    assert words == sorted((w for w, n in df.items() if 0.01 * len(rows) <= n <= 0.1 * len(rows)), key=lambda w: (-df[w], w))
+    found = {r.doc_id: r.topic for r in docs.select("doc_id", mixing.topic(F.col("text"), words).alias("topic")).collect()}
+    for (i, _, _), own in zip(rows, lists):
+        times = [(-own.count(w), n, w) for n, w in enumerate(words) if w in own]
+        assert found[i] == (min(times)[2] if times else "other")
+    assert mixing.mix(docs.where("text IS NULL")).first()["mix"]["copies"] == 1
 
 
 def test_one_rare_row_does_not_thin_out_the_rest(spark):

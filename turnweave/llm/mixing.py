@@ -8,6 +8,10 @@ the expected tokens are the fitted mixture and as many as there were; no cell, h
 
 from __future__ import annotations
 
+import math
+import warnings
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,33 +22,44 @@ DRIVER_CELLS = 100_000
 SWEEPS, TOLERANCE = 100, 1e-9
 #: How far each marginal moves from its observed shares (1) towards equal ones (0).
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
-#: Topics that are told apart, and the shares of all documents that have a word which can stand for one.
-TOPICS, LEAST_SHARE, MOST_SHARE = 8, 0.01, 0.1
+#: Shares of all documents that have a word which can stand for a topic. A document has some hundred different words, so
+#: that many / LEAST_SHARE bounds the number of topics, whatever the table's size.
+LEAST_SHARE, MOST_SHARE = 0.01, 0.1
+#: Words: whole runs of so many letters.
+WORD = "[A-Za-zÀ-ÿ]{5,}+"
 #: Hexadecimal digits of the digest that decides a row's fate.
 _DIGITS = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def topic_words(docs: DataFrame, text_col: str = "text", topics: int = TOPICS) -> list[str]:
-    """Words that stand for topics, learned from all documents.
+def words(text: Column) -> Column:
+    """The words of a text, A-Z read as a-z."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
+    return F.transform(found, lambda w: F.when(w.rlike("[A-Z]"), F.translate(w, _UPPER, _LOWER)).otherwise(w))
 
-    Of words of five letters a-z or more (A-Z read as a-z), those that between LEAST_SHARE and MOST_SHARE of the
-    documents have; of these the ``topics`` that most documents have, of equal ones the first by alphabet.
-    """
-    low = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _LOWER)
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit("[a-z]{5,}"), F.lit(0)))).alias("word"))
+
+def topic_words(docs: DataFrame, text_col: str = "text") -> list[str]:
+    """Words that stand for topics, learned from all documents: those that between LEAST_SHARE and MOST_SHARE of the
+    documents have, the commonest first, of equal ones the first in code-point order."""
     total = docs.count()
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n").between(LEAST_SHARE * total, MOST_SHARE * total))
-    return [r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(topics).collect()]
+    counted = docs.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counted = counted.where(F.col("n").between(LEAST_SHARE * total, MOST_SHARE * total))
+    return [r["word"] for r in sorted(counted.collect(), key=lambda r: (-r["n"], r["word"].encode()))]  # see LEAST_SHARE
+
 
+def topic(text: Column, topics: list[str]) -> Column:
+    """The one of the words that a text has most often, of equal ones the first; ``other`` if it has none."""
+    none = F.struct(F.lit(0).alias("times"), F.lit(1).cast("bigint").alias("nth"), F.lit("other").alias("word"))
+    if not topics:
+        return F.lit("other")
+    listed = F.array(*map(F.lit, topics))
 
-def topic(text: Column, words: list[str]) -> Column:
-    """The one of the words that a text has most often, within longer words too, of equal ones the first; ``other`` if it
-    has none. Counted by what is missing once a word is taken out, which needs no regular expression."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    times = [F.struct(((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(w)))) / len(w)).cast("int").alias("times"), F.lit(-n).alias("nth"), F.lit(w).alias("word")) for n, w in enumerate(words)]
-    none = F.struct(F.lit(0).alias("times"), F.lit(1).alias("nth"), F.lit("other").alias("word"))
-    return F.array_max(F.array(none, *times))["word"]
+    def counted(found: Column) -> Column:
+        of = lambda t: F.struct(F.size(F.filter(found, lambda w: w == t)).alias("times"), (-F.array_position(listed, t)).alias("nth"), t.alias("word"))
+        return F.transform(F.array_intersect(found, listed), of)
+
+    # an array of one array: its lambda names the words, which are then cut out of the text once
+    return F.array_max(F.concat(F.array(none), F.flatten(F.transform(F.array(words(text)), counted))))["word"]
 
 
 def tokens(text: Column) -> Column:
@@ -59,52 +74,75 @@ def tempered(observed: dict, exponent: float) -> dict:
     return {k: v / total for k, v in powers.items()}
 
 
-def fit(cells: dict[tuple, float], targets: list[dict]) -> dict[tuple, float]:
-    """Weights of the cells, from their tokens, whose marginals are the targets' shares of the whole.
+def fit(cells: dict[tuple, float], targets: list[dict], sweeps: int = SWEEPS) -> tuple[dict[tuple, float], float]:
+    """Weights of the cells, from their tokens, whose marginals are the targets' shares of the whole; and how far the worst
+    marginal then is from its target, as a share of the target.
 
-    Values without a target keep their observed share; targets are scaled to what is left. A marginal that cannot be met
-    because its cells are empty is met as nearly as the sweeps come.
+    A value with target 0 gets weight 0. Targets that contradict each other, or whose cells are all empty, are met as
+    nearly as the sweeps come, the last marginal best.
     """
-    total = sum(cells.values())
-    weights = dict(cells)
-    for _ in range(SWEEPS):
+    keys, total = list(cells), sum(cells.values())
+    weights = np.array([cells[k] for k in keys], float)
+    axes = []
+    for axis, target in enumerate(targets):
+        values = {v: n for n, v in enumerate(dict.fromkeys(k[axis] for k in keys))}
+        axes.append((np.array([values[k[axis]] for k in keys], np.int64), np.array([target[v] * total for v in values])))
+    worst = 0.0
+    for _ in range(sweeps):
         worst = 0.0
-        for axis, target in enumerate(targets):
-            sums: dict = {}
-            for key, w in weights.items():
-                sums[key[axis]] = sums.get(key[axis], 0.0) + w
-            ratio = {v: target[v] * total / s for v, s in sums.items()}
-            worst = max([worst, *(abs(r - 1) for r in ratio.values())])
-            weights = {key: w * ratio[key[axis]] for key, w in weights.items()}
+        for code, target in axes:
+            sums = np.bincount(code, weights=weights, minlength=len(target))
+            met = sums > 0
+            ratio = np.divide(target, sums, out=np.zeros(len(target)), where=met)
+            worst = max([worst, *np.abs(ratio - 1)[met & (target > 0)], *(~met & (target > 0)).astype(float)])
+            weights = weights * ratio[code]
         if worst < TOLERANCE:
             break
-    return weights
+    return dict(zip(keys, weights.tolist())), float(worst)
 
 
 def _complete(observed: dict, wanted: dict | None, exponent: float) -> dict:
+    """Every observed value's target share. Values without one keep their observed share of the whole, and targets are
+    scaled to the rest; if all that is wanted is 0, the others are scaled to the whole."""
     total = sum(observed.values())
     if wanted is None:
         return tempered({k: v / total for k, v in observed.items()}, exponent)
     free = sum(v / total for k, v in observed.items() if k not in wanted)
     given = sum(v for k, v in wanted.items() if k in observed)
-    return {k: wanted[k] / given * (1 - free) if k in wanted and given else v / total for k, v in observed.items()}
+    if not given and not free:
+        raise ValueError("every value that the documents have has target 0")
+    scale = (1 - free) / given if given else 0.0
+    rest = 1.0 if given or not any(k in wanted for k in observed) else 1 / free
+    return {k: wanted[k] * scale if k in wanted else v / total * rest for k, v in observed.items()}
+
+
+def _checked(targets: dict[str, dict] | None, axes: dict[str, Column]) -> dict[str, dict]:
+    for axis, wanted in (targets or {}).items():
+        if axis not in axes:
+            raise ValueError(f"there is no marginal {axis}")
+        if bad := [k for k, v in wanted.items() if not (math.isfinite(v) and v >= 0)]:
+            raise ValueError(f"targets of {axis} must be finite and not negative: {bad}")
+    return targets or {}
 
 
-def _fitted_by_sums(cells: DataFrame, axes: list[str], targets: dict[str, DataFrame], total: float) -> DataFrame:
+def _fitted_by_sums(cells: DataFrame, axes: list[str], targets: dict[str, DataFrame], total: float, sweeps: int = SWEEPS) -> tuple[DataFrame, float]:
     """The sweeps of ``fit`` over a table of cells too large for the driver; targets are (value, share)."""
-    fitted = cells.withColumn("w", F.col("tokens"))
-    for _ in range(SWEEPS):
+    fitted, worst = cells.withColumn("w", F.col("tokens")), 0.0
+    for _ in range(sweeps):
         worst = 0.0
         for axis in axes:
             sums = fitted.groupBy(axis).agg(F.sum("w").alias("s"))
-            ratio = sums.join(targets[axis], sums[axis].eqNullSafe(F.col("value"))).select(F.col(axis).alias("_v"), (F.col("share") * total / F.col("s")).alias("ratio"))
-            fitted = fitted.join(ratio, fitted[axis].eqNullSafe(F.col("_v"))).withColumn("w", F.col("w") * F.col("ratio"))
-            fitted = cut(fitted.select(*axes, "tokens", "w", "ratio"))
-            worst = max(worst, fitted.agg(F.max(F.abs(F.col("ratio") - 1))).first()[0] or 0.0)
-            fitted = fitted.drop("ratio")
+            wanted = F.col("share") * total
+            ratio = F.when(F.col("s") > 0, wanted / F.col("s")).otherwise(F.lit(0.0))
+            gap = F.when(F.col("share") > 0, F.abs(ratio - 1)).otherwise(F.lit(0.0))
+            ratios = sums.join(targets[axis], sums[axis].eqNullSafe(F.col("value"))).select(F.col(axis).alias("_v"), ratio.alias("ratio"), gap.alias("gap"))
+            fitted = fitted.join(ratios, fitted[axis].eqNullSafe(F.col("_v"))).withColumn("w", F.col("w") * F.col("ratio"))
+            fitted = cut(fitted.select(*axes, "tokens", "w", "gap"))
+            worst = max(worst, fitted.agg(F.max("gap")).first()[0] or 0.0)
+            fitted = fitted.drop("gap")
         if worst < TOLERANCE:
             break
-    return fitted
+    return fitted, worst
 
 
 def mix(
@@ -116,11 +154,16 @@ def mix(
     seed: int = 11,
     driver_cells: int = DRIVER_CELLS,
     name: str = "mix",
+    sweeps: int = SWEEPS,
+    strict: bool = False,
 ) -> DataFrame:
     """The input's columns plus a struct ``name`` of ``tokens, weight, probability, sampled, copies``.
 
     ``axes`` names the marginals (by default source, lang and topic); ``targets`` may give a marginal's shares by value,
-    otherwise observed shares are tempered by TEMPER. A null value is a value of its own. ``weight`` is the cell's ratio
+    otherwise observed shares are tempered by TEMPER. Values with target 0 go; values that no document has are passed over;
+    values without a target keep their share. If the marginals do not agree after ``sweeps`` sweeps, as when targets
+    contradict each other, a warning tells by how much, or with ``strict`` an error. A null value is a value of its own.
+    ``weight`` is the cell's ratio
     of fitted to observed tokens. ``copies`` is its whole part, and one more if the digest of the row's seed, id and text
     (nulls count as empty) falls below the rest, so a row's fate does not depend on partitions, and repeated rows share
     theirs. ``sampled`` says that there is a copy, ``probability`` how likely that is: the weight, 1 at most. An empty
@@ -130,6 +173,7 @@ def mix(
     name = fresh(docs.columns, name)
     text = F.col(text_col)
     axes = axes or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(text, topic_words(docs, text_col))}
+    targets = _checked(targets, axes)
     names = [f"_axis_{a}" for a in axes]
     keep = [F.col(f"`{c}`") for c in docs.columns]
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(text, F.lit("")))))
@@ -144,8 +188,8 @@ def mix(
             sums: dict = {}
             for key in sorted(observed, key=str):
                 sums[key[axis]] = sums.get(key[axis], 0.0) + observed[key]
-            shares.append(_complete(sums, (targets or {}).get(of), TEMPER.get(of, 1.0)))
-        fitted = fit({k: observed[k] for k in sorted(observed, key=str)}, shares)
+            shares.append(_complete(sums, targets.get(of), TEMPER.get(of, 1.0)))
+        fitted, worst = fit({k: observed[k] for k in sorted(observed, key=str)}, shares, sweeps)
         schema = ", ".join(f"{n} string" for n in names) + ", weight double"
         ratios = docs.sparkSession.createDataFrame([(*k, w / observed[k]) for k, w in fitted.items()], schema)
     else:
@@ -153,17 +197,25 @@ def mix(
         by_axis = {}
         for of, column in zip(axes, names):
             sums = cells.groupBy(F.col(column).alias("value")).agg((F.sum("tokens") / total).alias("seen"))
-            if wanted := (targets or {}).get(of):
+            if wanted := targets.get(of):
                 given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in wanted.items()], "given string, wanted double")
                 sums = sums.join(given, F.col("value").eqNullSafe(F.col("given")), "left")
-                both = sums.agg(F.sum("wanted"), F.sum(F.when(F.col("wanted").isNull(), F.col("seen")))).first()
-                share = F.coalesce(F.col("wanted") / F.lit(both[0] or 1.0) * (1 - (both[1] or 0.0)), F.col("seen"))
+                given, free, some = sums.agg(F.coalesce(F.sum("wanted"), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("wanted").isNull(), F.col("seen"))), F.lit(0.0)), F.count("wanted")).first()
+                if not given and not free:
+                    raise ValueError("every value that the documents have has target 0")
+                scale, rest = (1 - free) / given if given else 0.0, 1.0 if given or not some else 1 / free
+                share = F.coalesce(F.col("wanted") * scale, F.col("seen") * rest)
             else:
                 power = F.pow("seen", F.lit(TEMPER.get(of, 1.0)))
                 share = power / F.lit(sums.agg(F.sum(power)).first()[0])
             by_axis[column] = cut(sums.select("value", share.alias("share")))
-        fitted = _fitted_by_sums(cells, names, by_axis, total)
+        fitted, worst = _fitted_by_sums(cells, names, by_axis, total, sweeps)
         ratios = fitted.select(*names, (F.col("w") / F.col("tokens")).alias("weight"))
+    if worst >= TOLERANCE:
+        told = f"marginals are still {worst:.3g} of a target apart after {sweeps} sweeps"
+        if strict:
+            raise ValueError(told)
+        warnings.warn(told, stacklevel=2)
     ratios = ratios.select(*(F.col(n).alias(f"{n}_") for n in names), "weight")
     if n_cells <= driver_cells:
         ratios = F.broadcast(ratios)

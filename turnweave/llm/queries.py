@@ -186,13 +186,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = f"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS text,
-         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{5,}}') AS ws
   FROM documents),
-a AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS nth FROM (
-        SELECT word, count(*) AS n FROM (SELECT unnest(list_distinct(regexp_extract_all(low, '[a-z]{{5,}}'))) AS word FROM d) GROUP BY word)
-      WHERE n BETWEEN {mixing.LEAST_SHARE} * (SELECT count(*) FROM d) AND {mixing.MOST_SHARE} * (SELECT count(*) FROM d) ORDER BY n DESC, word LIMIT {mixing.TOPICS}),
-p AS (SELECT r, first(word ORDER BY times DESC, nth) AS topic FROM (
-        SELECT r, word, nth, (strlen(low) - strlen(replace(low, word, ''))) // strlen(word) AS times FROM d, a) WHERE times > 0 GROUP BY r),
+b AS (SELECT r, word, count(*) AS times FROM (SELECT r, unnest(ws) AS word FROM d) GROUP BY r, word),
+a AS (SELECT word, count(*) AS n FROM b GROUP BY word HAVING n BETWEEN {mixing.LEAST_SHARE} * (SELECT count(*) FROM d) AND {mixing.MOST_SHARE} * (SELECT count(*) FROM d)),
+p AS (SELECT r, first(word ORDER BY times DESC, n DESC, word) AS topic FROM b JOIN a USING (word) GROUP BY r),
 e AS (SELECT d.r, doc_id, source, lang, coalesce(topic, 'other') AS topic, CAST(greatest(ceil(strlen(text) / 4), 1) AS DOUBLE) AS tokens,
              CAST('0x' || left(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(text)), 10) AS BIGINT) / CAST(1099511627776 AS DOUBLE) AS draw
       FROM d LEFT JOIN p ON d.r = p.r),
