@@ -12,21 +12,23 @@ import math
 import warnings
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnweave.llm._session import cut, fresh
+from turnweave.llm._session import cut, fresh, prepare
+from turnweave.llm._words import lowered, separators, span_hash, windows, word_hashes
 
 #: Cells that the driver fits by itself; beyond, the same sweeps run as DataFrame aggregations.
 DRIVER_CELLS = 100_000
 SWEEPS, TOLERANCE = 100, 1e-9
 #: How far each marginal moves from its observed shares (1) towards equal ones (0).
 TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
-#: Shares of all documents that have a word which can stand for a topic. A document has some hundred different words, so
-#: that many / LEAST_SHARE bounds the number of topics, whatever the table's size.
-LEAST_SHARE, MOST_SHARE = 0.01, 0.1
-#: Words: whole runs of so many letters.
-WORD = "[A-Za-zÀ-ÿ]{5,}+"
+#: Topics that are told apart, and the shares of all documents that have a word which can stand for one.
+TOPICS, LEAST_SHARE, MOST_SHARE = 16, 0.01, 0.1
+#: Words: whole runs of so many letters a-z and characters beyond ASCII.
+WORD = r"[A-Za-z\x{80}-\x{10FFFF}]{5,}+"
+_NO_LETTER = separators(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 #: Hexadecimal digits of the digest that decides a row's fate.
 _DIGITS = 10
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,28 +40,45 @@ def words(text: Column) -> Column:
     return F.transform(found, lambda w: F.when(w.rlike("[A-Z]"), F.translate(w, _UPPER, _LOWER)).otherwise(w))
 
 
-def topic_words(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """Words that stand for topics, learned from all documents: those that between LEAST_SHARE and MOST_SHARE of the
-    documents have, the commonest first, of equal ones the first in code-point order."""
+def topic_words(docs: DataFrame, text_col: str = "text", topics: int | None = TOPICS) -> list[str]:
+    """Words that stand for topics, learned from all documents.
+
+    Of the words that between LEAST_SHARE and MOST_SHARE of the documents have, the ``topics`` that most have, of equal
+    ones the first in code-point order; with None all of them. A document has some hundred different words, so that many
+    / LEAST_SHARE bounds their number, whatever the table's size.
+    """
     total = docs.count()
     counted = docs.select(F.explode(F.array_distinct(words(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counted = counted.where(F.col("n").between(LEAST_SHARE * total, MOST_SHARE * total))
-    return [r["word"] for r in sorted(counted.collect(), key=lambda r: (-r["n"], r["word"].encode()))]  # see LEAST_SHARE
+    return [r["word"] for r in sorted(counted.collect(), key=lambda r: (-r["n"], r["word"].encode()))][:topics]
 
 
 def topic(text: Column, topics: list[str]) -> Column:
-    """The one of the words that a text has most often, of equal ones the first; ``other`` if it has none."""
-    none = F.struct(F.lit(0).alias("times"), F.lit(1).cast("bigint").alias("nth"), F.lit("other").alias("word"))
+    """The one of the words that a text has most often as a whole word, of equal ones the first; ``other`` if it has none."""
     if not topics:
         return F.lit("other")
-    listed = F.array(*map(F.lit, topics))
-
-    def counted(found: Column) -> Column:
-        of = lambda t: F.struct(F.size(F.filter(found, lambda w: w == t)).alias("times"), (-F.array_position(listed, t)).alias("nth"), t.alias("word"))
-        return F.transform(F.array_intersect(found, listed), of)
-
-    # an array of one array: its lambda names the words, which are then cut out of the text once
-    return F.array_max(F.concat(F.array(none), F.flatten(F.transform(F.array(words(text)), counted))))["word"]
+    prepare(SparkSession.active())
+    hashes, _ = word_hashes(pa.array(topics), _NO_LETTER)
+    order = np.argsort(hashes)
+    known, nth = hashes[order], order
+
+    @F.arrow_udf("string")
+    def most(column: pa.Array) -> pa.Array:
+        best = np.zeros(len(column), np.int64)
+        keys = [np.zeros(0, np.int64)]
+        data, offsets = lowered(column)
+        for rows, starts, ends, sums in windows(data, offsets, _NO_LETTER):
+            found = span_hash(starts, ends, sums)
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            hit = known[at] == found
+            keys.append(rows[hit] * len(known) + nth[at[hit]])
+        pairs, times = np.unique(np.concatenate(keys), return_counts=True)
+        # most often, then first
+        np.maximum.at(best, pairs // len(known), times * len(known) + len(known) - 1 - pairs % len(known))
+        names = pa.array([*reversed(topics), "other"])
+        return names.take(pa.array(np.where(best > 0, best % len(known), len(known))))
+
+    return most(text)
 
 
 def tokens(text: Column) -> Column:

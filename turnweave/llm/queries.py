@@ -183,13 +183,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "lang", "tokens", rounded("weight"), rounded("probability"), "sampled", "copies")
 
 
-OP10_SQL = f"""
+OP10_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, source, lang, coalesce(text, '') AS text,
-         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]{{5,}}') AS ws
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{80}}-\x{{10FFFF}}]{{5,}}') AS ws
   FROM documents),
 b AS (SELECT r, word, count(*) AS times FROM (SELECT r, unnest(ws) AS word FROM d) GROUP BY r, word),
-a AS (SELECT word, count(*) AS n FROM b GROUP BY word HAVING n BETWEEN {mixing.LEAST_SHARE} * (SELECT count(*) FROM d) AND {mixing.MOST_SHARE} * (SELECT count(*) FROM d)),
+a AS (SELECT word, count(*) AS n FROM b GROUP BY word HAVING n BETWEEN {mixing.LEAST_SHARE} * (SELECT count(*) FROM d) AND {mixing.MOST_SHARE} * (SELECT count(*) FROM d) ORDER BY n DESC, word LIMIT {mixing.TOPICS}),
 p AS (SELECT r, first(word ORDER BY times DESC, n DESC, word) AS topic FROM b JOIN a USING (word) GROUP BY r),
 e AS (SELECT d.r, doc_id, source, lang, coalesce(topic, 'other') AS topic, CAST(greatest(ceil(strlen(text) / 4), 1) AS DOUBLE) AS tokens,
              CAST('0x' || left(md5('11|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(text)), 10) AS BIGINT) / CAST(1099511627776 AS DOUBLE) AS draw
