@@ -2,13 +2,14 @@ import json
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from turnweave import cli
 from turnweave.plans import batch
 from turnweave.plans.transcripts import plain
 from turnweave.sources import documents
 from turnweave.sources.backends import ExternalTool, JsonFolder, find_tool
-from turnweave.sources.sinks import write_partitioned, write_single
+from turnweave.sources.sinks import write_files, write_single
 
 GOOD = {"segments": [{"start": 0, "end": 15.5, "text": " one\n", "id": 3}, {"start": 15.5, "end": 17, "text": "two"}], "language": "ko"}
 TURNS = {"segments": [{"start": 0, "end": 16, "speaker": "SPEAKER_01", "text": "x"}, {"start": 16, "end": 20}]}
@@ -65,10 +66,19 @@ def test_command_line(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     lines = spark.createDataFrame([("a", 1, "second"), ("a", 0, "first\nstill first"), ("b", 0, "x")], "rec string, pos int, line string")
     all_of_them = spark.createDataFrame([("a",), ("b",), ("silent",)], "rec string")
-    write_partitioned(lines, str(tmp_path / "out"), all_of_them)
-    read = lambda rec: "".join(p.read_text() for p in sorted((tmp_path / "out" / f"rec={rec}").glob("part-*")))
-    assert read("a") == "first\nstill first\nsecond\n" and read("silent") == ""
-    assert len(list((tmp_path / "out" / "rec=silent").glob("part-*"))) == 1
+    out = tmp_path / "out"
+    write_files(lines, str(out), all_of_them)
+    assert {p.name: p.read_bytes() for p in out.iterdir()} == {"a.txt": b"first\nstill first\nsecond\n", "b.txt": b"x\n", "silent.txt": b""}
+    # the folder is replaced as a whole, or stays as it was if a task fails
+    broken = lines.withColumn("line", F.when(F.col("rec") == "b", F.raise_error(F.lit("broken off"))).otherwise(F.col("line")))
+    for bad in (broken, lines.withColumn("rec", F.lit("a/b"))):
+        with pytest.raises(Exception):
+            write_files(bad, str(out), all_of_them)
+        assert sorted(p.name for p in out.iterdir()) == ["a.txt", "b.txt", "silent.txt"] and len(list(tmp_path.iterdir())) == 1
+    write_files(lines.where("rec = 'a'"), f"file://{out}")
+    assert [p.name for p in out.iterdir()] == ["a.txt"]
+    write_files(lines.where("false"), str(out))
+    assert list(out.iterdir()) == []
     write_single(lines.where("false"), str(tmp_path / "empty.txt"))
     assert (tmp_path / "empty.txt").read_bytes() == b""
 
@@ -101,8 +111,8 @@ def test_tools_run_once_per_recording(spark, tmp_path, monkeypatch):
         (tmp_path / name).mkdir()
     speech, speech_runs = counting_tool(tmp_path / "speech", GOOD)
     speakers, speaker_runs = counting_tool(tmp_path / "speakers", TURNS)
-    monkeypatch.setattr(cli, "speech_tool", lambda: ExternalTool(str(speech)))
-    monkeypatch.setattr(cli, "speaker_tool", lambda token: ExternalTool(str(speakers)))
+    monkeypatch.setattr(cli, "speech_tool", lambda results: ExternalTool(str(speech), results=results))
+    monkeypatch.setattr(cli, "speaker_tool", lambda token, results: ExternalTool(str(speakers), results=results))
     path = cli.main([str(tmp_path / "m.m4a"), "-o", str(tmp_path)], spark)
     assert speech_runs() == ["m"] and open(path).read() == "00:00 one\n00:15 two\n"
     cli.main([str(tmp_path / "m.m4a"), "--diarize", "--hf-token", "t", "-o", str(tmp_path)], spark)
@@ -111,7 +121,42 @@ def test_tools_run_once_per_recording(spark, tmp_path, monkeypatch):
     many = spark.createDataFrame([(f"r{n}", f"/x/r{n}.m4a") for n in range(5)], "rec string, path string")
     batch.transcribe(spark, many, str(tmp_path / "out"), ExternalTool(str(speech)), ExternalTool(str(speakers)))
     assert speech_runs()[2:] == speaker_runs()[1:] == [f"r{n}" for n in range(5)]
-    assert len(list((tmp_path / "out").glob("rec=r*/part-*"))) == 5
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"r{n}.txt" for n in range(5)]
+
+
+def test_a_run_takes_up_what_a_failed_one_has_done(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    tool, runs = counting_tool(tmp_path / "s", GOOD)
+    tool.write_text(tool.read_text().replace("json.dump", f"stem == 'r7' and not os.path.exists({str(tmp_path / 'mended')!r}) and sys.exit('broken')\njson.dump", 1))
+    recordings = spark.createDataFrame([(f"r{n}", f"/x/r{n}.m4a", 5) for n in range(10)], "rec string, path string, length int").repartition(1)
+    keeping = ExternalTool(str(tool), results=str(tmp_path / "kept"))
+    with pytest.raises(Exception):
+        keeping.documents(spark, recordings)
+    first = runs()
+    assert first.count("r7") >= 1 and all(first.count(f"r{n}") <= 1 for n in range(10) if n != 7)
+    (tmp_path / "mended").touch()
+    assert keeping.documents(spark, recordings).count() == 10
+    second = runs()
+    assert all(second.count(f"r{n}") == 1 for n in range(10) if n != 7) and second.count("r7") == first.count("r7") + 1
+    assert keeping.documents(spark, recordings).count() == 10 and runs() == second
+    # a recording that has changed, and other options
+    assert keeping.documents(spark, recordings.withColumn("length", F.when(F.col("rec") == "r3", 6).otherwise(F.col("length")))).count() == 10
+    assert len(runs()) == len(second) + 1 and runs().count("r3") == 2
+    assert ExternalTool(str(tool), ("--more",), results=str(tmp_path / "kept")).documents(spark, recordings).count() == 10
+    assert len(runs()) == len(second) + 11
+
+
+def test_recordings_that_only_spark_can_open(spark, tmp_path):
+    (tmp_path / "audio").mkdir()
+    for name in ("one é", "two"):
+        (tmp_path / "audio" / f"{name}.m4a").write_bytes(f"sound of {name}".encode())
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./audio", f"file://{tmp_path}/audio")
+    tool = tmp_path / "tool.py"
+    tool.write_text(f"#!{sys.executable}\nimport sys, os, json\nstem = os.path.splitext(os.path.basename(sys.argv[-1]))[0]\nheard = open(sys.argv[-1], encoding='utf-8').read()\njson.dump({{'segments': [{{'start': 0, 'end': 1, 'text': heard}}]}}, open(os.path.join(sys.argv[-2], stem + '.json'), 'w'))\n")
+    tool.chmod(0o755)
+    recordings = documents.recordings(spark, "viewfs://store/audio/*.m4a")
+    found = documents.segments(ExternalTool(str(tool)).documents(spark, recordings)).collect()
+    assert sorted((r.rec, r.text) for r in found) == [("one é", "sound of one é"), ("two", "sound of two")]
 
 
 def test_batch_refuses_what_it_cannot_tell_apart(spark, tmp_path):
@@ -125,7 +170,7 @@ def test_batch_refuses_what_it_cannot_tell_apart(spark, tmp_path):
     silent = spark.createDataFrame([("s", "/x/s.m4a")], "rec string, path string")
     (tmp_path / "j" / "s.json").write_text('{"segments": []}')
     batch.transcribe(spark, silent, str(tmp_path / "o"), JsonFolder(str(tmp_path / "j")))
-    assert [p.read_bytes() for p in (tmp_path / "o" / "rec=s").glob("part-*")] == [b""]
+    assert [(p.name, p.read_bytes()) for p in (tmp_path / "o").iterdir()] == [("s.txt", b"")]
 
 
 def test_recordings_and_folders(spark, tmp_path):

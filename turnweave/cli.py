@@ -28,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--hf-token", help="access token of the speaker models")
     p.add_argument("-o", "--output-dir", default=".", help="folder of the transcript")
     p.add_argument("--json-dir", help="folder with the transcription's document")
+    p.add_argument("--results-dir", help="folder that keeps the tools' documents, so that a later run need not call them again")
     p.add_argument("--turns-dir", help="folder with the diarization's document")
     return p
 
@@ -43,11 +44,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     one = spark.createDataFrame([(name, args.audio)], "name string, path string").select(stem(F.col("name")).alias("rec"), "path")
     rec = one.first()["rec"]
     log.info("transcribing %s", name)
-    speech: Backend = JsonFolder(args.json_dir) if args.json_dir else speech_tool()
+    speech: Backend = JsonFolder(args.json_dir) if args.json_dir else speech_tool(args.results_dir)
     speakers: Backend | None = None
     if args.diarize:
         log.info("finding the speakers of %s", name)
-        speakers = JsonFolder(args.turns_dir) if args.turns_dir else speaker_tool(args.hf_token)
+        speakers = JsonFolder(args.turns_dir) if args.turns_dir else speaker_tool(args.hf_token, args.results_dir)
     lines = batch.lines(spark, one, speech, speakers)
     path = os.path.join(args.output_dir, f"{rec}.txt")
     write_single(lines, path)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnweave.plans.transcripts import transcript
 from turnweave.sources import documents
 from turnweave.sources.backends import Backend
-from turnweave.sources.sinks import write_partitioned
+from turnweave.sources.sinks import write_files
 
 
 def lines(spark: SparkSession, recordings: DataFrame, speech: Backend, speakers: Backend | None = None) -> DataFrame:
@@ -27,5 +27,8 @@ def lines(spark: SparkSession, recordings: DataFrame, speech: Backend, speakers:
 
 
 def transcribe(spark: SparkSession, recordings: DataFrame, folder: str, speech: Backend, speakers: Backend | None = None) -> None:
-    """Writes a transcript per recording below ``folder``, an empty one for a recording in which nobody speaks."""
-    write_partitioned(lines(spark, recordings, speech, speakers), folder, recordings)
+    """Writes ``STEM.txt`` per recording into ``folder``, an empty one for a recording in which nobody speaks.
+
+    With tools that keep their results (``ExternalTool.results``) a run after a failure takes up what the first has done.
+    """
+    write_files(lines(spark, recordings, speech, speakers), folder, recordings)

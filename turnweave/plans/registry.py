@@ -6,17 +6,14 @@ long as its text, and speakers' turns are segments shifted, left out and relabel
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions import scalars
 from turnweave.operators import overlap
-from turnweave.plans import batch, transcripts
+from turnweave.plans import transcripts
 from turnweave.sources import documents
-from turnweave.sources.backends import ExternalTool, find_tool
-from turnweave.sources.sinks import write_partitioned
+from turnweave.sources.sinks import write_files
 from turnweave.sources.storage import shared_folder
 
 _SEGMENTS = """SELECT conv_id AS rec, turn AS pos,
@@ -153,37 +150,24 @@ def recordings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("rec", (F.col("length") > 0).alias("has_content"), (whole == F.col("path")).alias("path_is_whole"))
 
 
-#: Stands for a speech tool: writes STEM.json with one segment, whose text is the stem.
-_TOOL = "import json, os, sys; stem = os.path.splitext(os.path.basename(sys.argv[-1]))[0]; json.dump({'segments': [{'start': 0, 'end': len(stem) / 2, 'text': ' ' + stem + ' ', 'speaker': 'S' + stem[-1]}]}, open(os.path.join(sys.argv[-2], stem + '.json'), 'w'))"
-
-
-def tool_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tool run over recordings for speech and again for speakers, and the labelled lines; one recording a conversation."""
-    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    rec = F.col("conv_id").cast("string")
-    recordings = conversations.select(rec.alias("rec"), F.concat(F.lit("/recordings/"), rec, F.lit(".m4a")).alias("path")).distinct()
-    tool = ExternalTool(find_tool("python3", [sys.executable]), ("-c", _TOOL))
-    return batch.lines(spark, recordings, tool, tool)
-
-
 def sink_partitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the sink has written, file by file; some recordings are silent, and Spark's readers pass empty files over."""
     segments, _ = _tables(spark, sf_dir)
     recordings = segments.select(F.col("rec").cast("string").alias("rec")).distinct()
     lines = transcripts.plain(segments.where("rec % 7 <> 0")).withColumn("rec", F.col("rec").cast("string"))
     folder = shared_folder(spark)
-    write_partitioned(lines, folder, recordings)
+    write_files(lines, folder, recordings)
     files = spark.read.format("binaryFile").load(folder)
-    written = files.select(F.regexp_extract("path", "/rec=([^/]*)/", 1).alias("rec"), F.col("content").cast("string").alias("content"))
+    written = files.select(scalars.stem(scalars.decoded_name(F.col("_metadata.file_name"))).alias("rec"), F.col("content").cast("string").alias("content"))
     return recordings.join(written, "rec", "left").select(F.col("rec").cast("bigint").alias("rec"), F.coalesce("content", F.lit("")).alias("content"))
 
 
-_NAMES = ("a.m4a", "a.b.m4a", ".m4a", "..b", "a..b", "a.", ".a.b", "noext", "회의 1.m4a", "a.tar.gz")
-
-
 def file_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = F.explode(F.array(*map(F.lit, _NAMES)))
-    return spark.range(1).select(names.alias("name")).select("name", scalars.stem(F.col("name")).alias("stem"))
+    """Names made of each document's text, with dots in many places."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    word = F.translate(F.left(F.coalesce("text", F.lit("")), F.lit(12)), "/\n ", "_..")
+    name = F.concat(F.repeat(F.lit("."), (F.col("doc_id") % 3).cast("int")), word, F.when(F.col("doc_id") % 4 > 0, ".").otherwise(""), F.when(F.col("doc_id") % 5 > 0, F.col("lang")).otherwise(""))
+    return docs.select("doc_id", name.alias("name")).select("doc_id", "name", scalars.stem(F.col("name")).alias("stem"))
 
 
 QUERIES = {
@@ -201,7 +185,6 @@ QUERIES = {
     "documents_scan": documents_scan,
     "turns_scan": turns_scan,
     "recordings_scan": recordings_scan,
-    "tool_transcripts": tool_transcripts,
     "sink_partitioned": sink_partitioned,
     "file_stem": file_stem,
 }
@@ -247,7 +230,7 @@ UNION ALL SELECT rec, pos, '[' || speaker || '] ' || {_time_sql("st")} || ' ' ||
     "documents_scan": _UNNESTED,
     "turns_scan": f"{_WITH} SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS pos, st, en, CASE WHEN (rec + pos) % 5 <> 0 THEN speaker ELSE 'UNKNOWN' END AS speaker FROM turns WHERE rec % 6 <> 0",
     "recordings_scan": "SELECT unnest([" + ", ".join(f"'{t}'" for t in TABLES) + "]) AS rec, true AS has_content, true AS path_is_whole",
-    "tool_transcripts": "SELECT rec, 0 AS pos, '[S' || right(rec, 1) || '] 00:00 ' || rec AS line FROM (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS rec FROM conversations)",
     "sink_partitioned": f"""{_WITH} SELECT rec, CASE WHEN rec % 7 = 0 THEN '' ELSE string_agg({_time_sql("st")} || ' ' || {_TEXT} || chr(10), '' ORDER BY pos) END AS content FROM segments GROUP BY rec""",
-    "file_stem": "SELECT name, regexp_replace(name, '^(\\.*[^.].*)\\.[^.]*$', '\\1') AS stem FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in _NAMES) + "]) AS name)",
+    "file_stem": r"""SELECT doc_id, name, regexp_replace(name, '(?s)^(\.*[^.].*)\.[^.]*$', '\1') AS stem FROM (
+SELECT doc_id, repeat('.', CAST(doc_id % 3 AS INTEGER)) || translate(left(coalesce(text, ''), 12), '/' || chr(10) || ' ', '_..') || CASE WHEN doc_id % 4 > 0 THEN '.' ELSE '' END || CASE WHEN doc_id % 5 > 0 THEN lang ELSE '' END AS name FROM documents)""",
 }

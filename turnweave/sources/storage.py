@@ -1,11 +1,12 @@
-"""The folder that the driver and all executors share, and tables that are written there once."""
+"""The folder that the driver and all executors share, and what tasks write there themselves."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -18,19 +19,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root}/{uuid.uuid4()}"
 
 
-def written_once(frame: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: whatever reads them later does not compute them again."""
-    folder = shared_folder(frame.sparkSession)
-    frame.write.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path within it; for tasks, which have no access to Spark's own."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
 
 
-def create_empty(spark: SparkSession, folder: str, partitions: DataFrame) -> None:
-    """An empty file in ``folder/COLUMN=VALUE`` for each value of a frame of one column. Spark's writers give no file
-    without a line; values stream through the driver one by one."""
-    jvm, column = spark._jvm, partitions.columns[0]
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for (value,) in partitions.toLocalIterator():
-        name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, value)
-        files.create(jvm.org.apache.hadoop.fs.Path(jvm.org.apache.hadoop.fs.Path(root, name), "part-empty.txt"), True).close()
+def put(path: str, content: bytes) -> None:
+    """Write a file that is there whole or not at all."""
+    files, to = file_system(path)
+    part = f"{to.rpartition('/')[0]}/_unfinished-{uuid.uuid4().hex}"
+    with files.open_output_stream(part) as out:
+        out.write(content)
+    files.move(part, to)
+
+
+def is_file(path: str) -> bool:
+    files, at = file_system(path)
+    return files.get_file_info(at).type == fs.FileType.File
