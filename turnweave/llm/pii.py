@@ -53,9 +53,9 @@ _BLOCK = 128
 
 
 def _located(kind: str) -> Column:
-    """The matches of a kind as (start, kind, end, text, left, right), places in code points, end exclusive."""
+    """The matches of a kind with the text before and after each, from ``_pieces``, the text between the matches."""
     column, pattern = PATTERNS[kind]
-    found, pieces = F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), F.split(column, pattern, -1)
+    found, pieces = F.regexp_extract_all(column, F.lit(pattern), F.lit(0)), F.col("_pieces")
     return F.transform(
         found,
         lambda m, i: F.struct(m.alias("text"), F.get(pieces, i).alias("gap"), F.get(pieces, i + 1).alias("next")),
@@ -75,6 +75,16 @@ def _placed(name: str, kind: str) -> Column:
     )
 
 
+def _meets(spans: str) -> str:
+    """SQL: whether a span m shares characters with one of ``spans``, which are sorted and apart from each other.
+
+    The last of them that starts before m ends reaches furthest of those; it is found by halving.
+    """
+    step = f"shiftright(shiftleft(1, length(bin(size({spans})))), k)"
+    before = f"aggregate(sequence(1, length(bin(size({spans})))), 0, (n, k) -> if(n + {step} <= size({spans}) AND get({spans}, n + {step} - 1).start < m.end, n + {step}, n))"
+    return f"get(transform(array({before}), n -> n > 0 AND get({spans}, n - 1).end > m.start), 0)"
+
+
 _DIGITS = "regexp_replace(m.text, '[^0-9]', '')"
 _VALID = {
     "email": "true",
@@ -127,18 +137,20 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     f = f.withColumn("_dotted", F.when(F.contains("_plain", F.lit("@")), F.regexp_replace("_plain", r"(?<=[A-Za-z0-9-])\.(?=[A-Za-z0-9-])", _MARK)))
     f = f.withColumn("_spaced", F.regexp_replace("_plain", r"(?<=[0-9])[ -](?=[0-9])", _MARK))
     for kind in KINDS:
-        f = f.withColumn(f"_{kind}", _located(kind))
+        # a column of its own: within the lambda the text would be cut anew for each match
+        f = f.withColumn("_pieces", pinned(F.split(PATTERNS[kind][0], PATTERNS[kind][1], -1)))
+        f = f.withColumn(f"_{kind}", pinned(_located(kind)))
         blocks = f"CASE WHEN size(_{kind}) = 0 THEN cast(array() AS array<bigint>) ELSE transform(sequence(0, (size(_{kind}) - 1) div {_BLOCK}), b -> aggregate(slice(_{kind}, cast(b * {_BLOCK} + 1 AS int), {_BLOCK}), 0L, (a, x) -> a + char_length(x.gap) + char_length(x.text))) END"
-        f = f.withColumn(f"_{kind}_blocks", F.expr(blocks))
+        f = f.withColumn(f"_{kind}_blocks", pinned(F.expr(blocks)))
     empty = "cast(array() AS array<struct<start: int, kind: int, end: int, text: string, left: string, right: string>>)"
     for kind in KINDS:
         f = f.withColumn(f"_{kind}", F.coalesce(_placed(f"_{kind}", kind), F.expr(empty)))
-        f = f.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, m -> {_VALID[kind]})"))
+        f = f.withColumn(f"_{kind}", pinned(F.expr(f"filter(_{kind}, m -> {_VALID[kind]})")))
     f = f.withColumn("_base", F.array_sort(F.concat(*(f"_{k}" for k in BASE))))
-    loose = F.concat(*(f"_{k}" for k in KINDS[len(BASE) :]))
-    f = f.withColumn("_more", F.array_sort(loose))
-    f = f.withColumn("_more", F.expr("filter(_more, m -> NOT exists(_base, b -> m.start < b.end AND b.start < m.end) AND NOT exists(_more, o -> o.kind < m.kind AND m.start < o.end AND o.start < m.end))"))
-    return f.drop("_plain", "_worded", "_running", "_dotted", "_spaced", *(f"_{k}" for k in KINDS), *(f"_{k}_blocks" for k in KINDS))
+    loose = KINDS[len(BASE) :]
+    clear = [F.expr(f"filter(_{kind}, m -> NOT ({' OR '.join(_meets(f'_{k}') for k in KINDS[: KINDS.index(kind)])}))") for kind in loose]
+    f = f.withColumn("_more", F.array_sort(F.concat(*clear)))
+    return f.drop("_pieces", "_plain", "_worded", "_running", "_dotted", "_spaced", *(f"_{k}" for k in KINDS), *(f"_{k}_blocks" for k in KINDS))
 
 
 def votes(found: DataFrame) -> DataFrame:
