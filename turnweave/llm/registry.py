@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from turnweave.llm import queries as q
 
 QUERIES = {
@@ -19,7 +18,6 @@ QUERIES = {
     "op11_spelling_variants": q.op11_spelling_variants,
     "op12_quality_classifier": q.op12_quality_classifier,
     "op13_prefix_trie": q.op13_prefix_trie,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
