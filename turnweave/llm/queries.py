@@ -90,16 +90,20 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "licence", "dice", F.size("notices").cast("bigint").alias("n_notices"), F.array_join(F.transform("notices", lambda n: F.concat_ws(":", n["line"], n["licence"])), ",").alias("lines"))
 
 
-_TEMPLATES = ", ".join(f"({n}, '{name}', [{', '.join(repr(g) for g in license_scan.bigrams(t))}])" for n, (name, t) in enumerate(license_scan.TEMPLATES))
+_TELLING = license_scan.distinguishing([(n, name, license_scan.bigrams(t)) for n, (name, t) in enumerate(license_scan.TEMPLATES)])
+_TEMPLATES = ", ".join(f"({n}, '{name}', {license_scan.bigrams(t)}, {_TELLING[n]}::VARCHAR[][])" for n, (name, t) in enumerate(license_scan.TEMPLATES))
 OP4_SQL = f"""
-WITH t(n, licence, grams) AS (VALUES {_TEMPLATES}),
+WITH t(n, licence, grams, telling) AS (VALUES {_TEMPLATES}),
 d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT r, unnest(range(len(ls))) AS line, unnest(ls) AS text FROM d),
 w AS (SELECT r, line, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS ws FROM l),
 g AS (SELECT r, line, list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS b FROM w WHERE len(ws) > 1),
-m AS (SELECT r, line, licence, CAST(2 AS DOUBLE) * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice, len(grams) AS size, n FROM g, t WHERE len(b) < 100),
+m AS (SELECT r, line, licence, CAST(2 AS DOUBLE) * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS dice, len(grams) AS size, n FROM g, t WHERE len(b) < 100 AND len(list_filter(telling, lambda d: 2 * len(list_intersect(d, b)) < len(d))) = 0),
 o AS (SELECT r, line, licence, dice FROM (SELECT *, row_number() OVER (PARTITION BY r, line ORDER BY dice DESC, size, n) AS nth FROM m WHERE dice >= CAST({license_scan.DICE} AS DOUBLE)) WHERE nth = 1),
-b AS (SELECT r, count(*) AS n_notices, string_agg(line || ':' || licence, ',' ORDER BY line) AS lines, first(licence ORDER BY dice DESC, line) AS licence, max(dice) AS dice FROM o GROUP BY r)
+own AS (SELECT r, first(licence ORDER BY dice DESC, line) AS licence, max(dice) AS dice FROM o AS a
+  WHERE NOT (licence = 'proprietary' AND EXISTS (FROM o AS x WHERE x.r = a.r AND x.licence <> 'proprietary'))
+    AND NOT (licence = 'BSD-2-Clause' AND EXISTS (FROM o AS x WHERE x.r = a.r AND x.licence = 'BSD-3-Clause')) GROUP BY r),
+b AS (SELECT r, n_notices, lines, licence, dice FROM (SELECT r, count(*) AS n_notices, string_agg(line || ':' || licence, ',' ORDER BY line) AS lines FROM o GROUP BY r) JOIN own USING (r))
 SELECT doc_id, licence, dice, coalesce(n_notices, 0) AS n_notices, coalesce(lines, '') AS lines FROM d LEFT JOIN b USING (r)
 """
 
