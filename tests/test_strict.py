@@ -1,0 +1,129 @@
+import json
+from itertools import product
+
+import pytest
+
+from turnweave.sources import strict
+
+LOST, NULL = object(), None
+SEGMENT = {"start": 0, "end": 15.5, "text": " one\n"}
+TURN = {"start": 0, "end": 16, "speaker": "A"}
+
+
+def raw(spark, *docs):
+    return spark.createDataFrame([(f"r{n}", d if isinstance(d, str) else json.dumps(d)) for n, d in enumerate(docs)], "rec string, json string")
+
+
+def changed(element, field, value):
+    return {k: v for k, v in (element | {field: value}).items() if v is not LOST}
+
+
+def by_hand(speech, speakers=None):
+    """One recording, list by list; every step that fails raises."""
+    def time(x):
+        assert type(x) in (int, float)
+        return x
+
+    told = []
+    for s in () if speakers is None else speakers.get("segments", []):
+        who = s.get("speaker", "UNKNOWN")
+        assert who is None or type(who) in (str, int)
+        told.append((time(s["start"]), time(s["end"]), str(who)))
+    lines = []
+    for s in speech["segments"]:
+        start, end, who, most = time(s["start"]), s["end"], "UNKNOWN", 0
+        assert end is None or time(end) is end
+        for a, b, name in told:
+            if (shared := min(end, b) - max(start, a)) > most:
+                most, who = shared, name
+        text = f"{int(start) // 60:02d}:{int(start) % 60:02d} {s['text'].strip()}"
+        lines.append(text if speakers is None else f"[{who}] {text}")
+    return lines
+
+
+OPEN = {"segments": [SEGMENT, SEGMENT | {"end": None}]}
+CELLS = [({"segments": [SEGMENT, changed(SEGMENT, f, v)]}, None) for f, v in product(SEGMENT, (LOST, NULL, "7", 7, 7.25, True, [], {}))]
+CELLS += [(OPEN, turns) for turns in ({}, {"segments": []}, {"segments": [TURN]})]
+CELLS += [({"segments": [SEGMENT]}, {"segments": [changed(TURN, f, v), TURN | {"start": 9}]}) for f, v in product(TURN, (LOST, NULL, "7", 7, 7.25, True, []))]
+CELLS += [(doc, None) for doc in ({}, {"segments": None}, {"segments": 3}, {"segments": {"a": 1}}, {"segments": []}, [], 3, {"segments": [3]}, {"segments": [None]})]
+CELLS += [({"segments": [SEGMENT]}, doc) for doc in ({}, {"segments": None}, {"segments": 3}, {"segments": {"a": 1}}, {"segments": []}, [], {"segments": [3]})]
+
+
+def outcome(speech, speakers):
+    try:
+        return by_hand(speech, speakers)
+    except (AssertionError, AttributeError, KeyError, TypeError):
+        return None
+
+
+def test_each_cell(spark):
+    """All documents in one job: those that fail by hand have a problem, and the others' lines are the same."""
+    schema = "rec string, json string"
+    cells = [(f"c{n}", a, b, outcome(a, b)) for n, (a, b) in enumerate(CELLS)]
+    table = lambda rows: spark.createDataFrame([(rec, json.dumps(d)) for rec, d in rows], schema)
+    told = strict.problems(table((c[0], c[1]) for c in cells), table((c[0], c[2]) for c in cells if c[2] is not None))
+    open_ends = {c[0] for c in cells if c[1] == OPEN and c[2] and c[2]["segments"]}
+    assert {r.rec for r in told.select("rec").collect()} == {c[0] for c in cells if c[3] is None} - open_ends and len(open_ends) == 1
+    for labelled in (False, True):
+        good = [c for c in cells if c[3] is not None and (c[2] is not None) == labelled]
+        found = strict.transcript(table((c[0], c[1]) for c in good), table((c[0], c[2]) for c in good) if labelled else None)
+        lines = {c[0]: [] for c in good}
+        for r in found.orderBy("rec", "pos").collect():
+            lines[r.rec].append(r.line)
+        assert lines == {c[0]: c[3] for c in good} and len(good) > 5
+
+
+@pytest.mark.parametrize("speech, speakers, told", [
+    ({"segments": [SEGMENT, changed(SEGMENT, "text", 7)]}, None, "segment 1 has a text that is no string: the transcription of r0"),
+    ({"segments": [SEGMENT]}, {"segments": [changed(TURN, "end", NULL)]}, "turn 0 has a null end: the diarization of r0"),
+    ({"segments": None}, None, "has null segments: the transcription of r0"),
+    ({"segments": [SEGMENT, SEGMENT | {"end": None}]}, {"segments": [TURN]}, "a segment has a null end: the transcription of r0"),
+])
+def test_a_problem_fails_the_job(spark, speech, speakers, told):
+    with pytest.raises(Exception, match=told):
+        strict.transcript(raw(spark, speech), None if speakers is None else raw(spark, speakers)).collect()
+
+
+def test_problems_are_all_told(spark):
+    speech = raw(spark, {"segments": [SEGMENT, {}, changed(SEGMENT, "text", 4), 5]}, {}, [], {"segments": [changed(SEGMENT, "end", NULL)]})
+    speakers = raw(spark, {"segments": [changed(TURN, "speaker", [1]), TURN]}, {}, {"segments": None}, {"segments": "ab"})
+    told = {(r.rec, r.kind, r.pos): r.problem for r in strict.problems(speech, speakers).collect()}
+    assert told == {
+        ("r0", "segment", 1): "has no start",
+        ("r0", "segment", 2): "has a text that is no string",
+        ("r0", "segment", 3): "has no start",
+        ("r1", "segment", -1): "has no segments",
+        ("r2", "segment", -1): "is no object",
+        ("r0", "turn", 0): "has a speaker that is no string",
+        ("r2", "turn", -1): "has null segments",
+        ("r3", "turn", -1): "has segments that are no list",
+    }
+    assert strict.problems(raw(spark, {"segments": []})).count() == 0
+
+
+@pytest.mark.parametrize("bad", ['{"segments": [{"start": 0', '{"segments": [{"start": NaN, "end": 1, "text": ""}]}', '{"segments": [], "segments": []}', ""])
+def test_what_is_no_json(spark, bad):
+    with pytest.raises(Exception):
+        strict.segments(raw(spark, bad)).collect()
+
+
+def test_numbers_are_doubles(spark):
+    times = [0, 1, 0.1, 1e-9, 123456789.125, 1e22, 1.7976931348623157e308, 0.30000000000000004, -5, 12345678901234567890]
+    doc = {"segments": [{"start": t, "end": t, "text": ""} for t in times]}
+    assert [r.start for r in strict.segments(raw(spark, doc)).orderBy("pos").collect()] == [float(t) for t in times]
+    with pytest.raises(Exception):
+        strict.segments(raw(spark, '{"segments": [{"start": 1e999, "end": 1, "text": ""}]}')).collect()
+
+
+@pytest.mark.parametrize("asked", ["rec", "pos", None])
+def test_an_unused_field_is_checked(spark, asked):
+    found = strict.segments(raw(spark, {"segments": [changed(SEGMENT, "end", LOST)]}))
+    with pytest.raises(Exception, match="segment 0 has no end: the transcription of r0"):
+        found.select(asked).collect() if asked else found.count()
+
+
+def test_many_recordings(spark):
+    speech = raw(spark, *({"segments": [SEGMENT | {"text": f"t{n}"}, SEGMENT | {"start": 20, "end": 30}]} for n in range(50)))
+    speakers = raw(spark, *({"segments": [TURN | {"speaker": None if n % 2 else "B"}]} for n in range(50)))
+    found = {(r.rec, r.pos): r.line for r in strict.transcript(speech, speakers).collect()}
+    assert len(found) == 100 and found["r7", 0] == "[None] 00:00 t7" and found["r8", 0] == "[B] 00:00 t8" and found["r8", 1] == "[UNKNOWN] 00:20 one"

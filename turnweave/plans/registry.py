@@ -6,13 +6,13 @@ long as its text, and speakers' turns are segments shifted, left out and relabel
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions import scalars
 from turnweave.operators import overlap
 from turnweave.plans import transcripts
-from turnweave.sources import documents
+from turnweave.sources import documents, strict
 from turnweave.sources.sinks import write_files
 from turnweave.sources.storage import shared_folder
 
@@ -143,6 +143,44 @@ def turns_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(documents.turns(documents.raw_documents(spark, _left_by_a_tool(docs), by_folder=True)))
 
 
+def _strict_documents(segments: DataFrame, turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents as JSON texts, in which speakers are missing or null, and ends are null where a recording has no turns."""
+
+    def written(frame: DataFrame, last: Column) -> DataFrame:
+        fields = F.concat_ws(",", F.concat(F.lit('"start":'), F.col("start").cast("string")), F.concat(F.lit('"end":'), F.when(F.col("open"), "null").otherwise(F.col("end").cast("string"))), last)
+        nested = frame.select(F.col("rec").cast("string").alias("rec"), F.struct("pos", F.concat(F.lit("{"), fields, F.lit("}")).alias("json")).alias("s"))
+        nested = nested.groupBy("rec").agg(F.sort_array(F.collect_list("s")).alias("s"))
+        return nested.select("rec", F.concat(F.lit('{"segments":['), F.array_join("s.json", ","), F.lit("]}")).alias("json"))
+
+    quoted = lambda c: F.substring(F.to_json(F.struct(c)), F.lit(2), F.length(F.to_json(F.struct(c))) - 2)
+    kind = (F.col("rec") + F.col("pos")) % 5
+    speaker = F.when(kind == 0, F.lit('"speaker":null')).when(kind != 1, quoted("speaker"))
+    speech = written(segments.withColumn("open", (F.col("rec") % 6 == 0) & (F.col("pos") % 2 == 1)), quoted("text"))
+    told = written(turns.withColumn("open", F.lit(False)), speaker)
+    return speech, told.withColumn("json", F.when(F.col("rec").cast("bigint") % 6 == 0, "{}").otherwise(F.col("json")))
+
+
+def strict_transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing and null speakers told apart, and ends that nothing needs."""
+    found = strict.transcript(*_strict_documents(*_tables(spark, sf_dir)))
+    return found.withColumns({"rec": F.col("rec").cast("bigint"), "pos": F.col("pos").cast("bigint")})
+
+
+def strict_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is wrong in documents some of whose fields are of another type, null or lost."""
+    segments, _ = _tables(spark, sf_dir)
+    nth = (F.col("rec") * 3 + F.col("pos")) % 11
+    start = F.when(nth == 0, F.lit('"start":"0"')).when(nth == 1, F.lit('"start":null')).when(nth != 2, F.concat(F.lit('"start":'), F.col("start").cast("string")))
+    text = F.when(nth == 3, F.lit('"text":12')).when(nth == 4, F.lit('"text":null')).when(nth != 5, F.lit('"text":"as said"'))
+    end = F.when(nth != 6, F.lit('"end":null'))
+    element = F.concat(F.lit("{"), F.concat_ws(",", start, end, text), F.lit("}"))
+    nested = segments.groupBy(F.col("rec").cast("string").alias("rec")).agg(F.sort_array(F.collect_list(F.struct("pos", element.alias("json")))).alias("s"))
+    listed = F.concat(F.lit('{"segments":['), F.array_join("s.json", ","), F.lit("]}"))
+    number = F.col("rec").cast("bigint")
+    docs = nested.select("rec", F.when(number % 9 == 0, "{}").when(number % 9 == 1, '{"segments":null}').otherwise(listed).alias("json"))
+    return strict.problems(docs).select(F.col("rec").cast("bigint").alias("rec"), "kind", F.col("pos").cast("bigint").alias("pos"), "problem")
+
+
 def recordings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the tables' folder as recordings: stems, and paths put together again."""
     found = documents.recordings(spark, f"{sf_dir}/*.parquet")
@@ -184,6 +222,8 @@ QUERIES = {
     "transcript_chosen": transcript_chosen,
     "documents_scan": documents_scan,
     "turns_scan": turns_scan,
+    "strict_transcript": strict_transcript,
+    "strict_problems": strict_problems,
     "recordings_scan": recordings_scan,
     "sink_partitioned": sink_partitioned,
     "file_stem": file_stem,
@@ -229,6 +269,13 @@ FROM segments g JOIN turns t ON g.rec = t.rec AND g.st < t.en AND t.st < g.en AN
 UNION ALL SELECT rec, pos, '[' || speaker || '] ' || {_time_sql("st")} || ' ' || {_TEXT}, true FROM ({_ASSIGNED})""",
     "documents_scan": _UNNESTED,
     "turns_scan": f"{_WITH} SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS pos, st, en, CASE WHEN (rec + pos) % 5 <> 0 THEN speaker ELSE 'UNKNOWN' END AS speaker FROM turns WHERE rec % 6 <> 0",
+    "strict_transcript": f"""WITH segments AS ({_SEGMENTS}),
+turns AS (SELECT rec, pos, st, en, CASE (rec + pos) % 5 WHEN 0 THEN 'None' WHEN 1 THEN 'UNKNOWN' ELSE speaker END AS speaker FROM ({_TURNS}) WHERE rec % 6 <> 0)
+SELECT rec, pos, '[' || speaker || '] ' || {_time_sql("st")} || ' ' || {_TEXT} AS line FROM ({_ASSIGNED})""",
+    "strict_problems": f"""{_WITH}, n AS (SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS pos, (rec * 3 + pos) % 11 AS nth FROM segments WHERE rec % 9 > 1)
+SELECT rec, 'segment' AS kind, pos, CASE nth WHEN 0 THEN 'has a start that is no number' WHEN 1 THEN 'has a null start' WHEN 2 THEN 'has no start'
+  WHEN 3 THEN 'has a text that is no string' WHEN 4 THEN 'has a null text' WHEN 5 THEN 'has no text' ELSE 'has no end' END AS problem FROM n WHERE nth < 7
+UNION ALL SELECT DISTINCT rec, 'segment', -1, CASE rec % 9 WHEN 0 THEN 'has no segments' ELSE 'has null segments' END FROM segments WHERE rec % 9 < 2""",
     "recordings_scan": "SELECT unnest([" + ", ".join(f"'{t}'" for t in TABLES) + "]) AS rec, true AS has_content, true AS path_is_whole",
     "sink_partitioned": f"""{_WITH} SELECT rec, CASE WHEN rec % 7 = 0 THEN '' ELSE string_agg({_time_sql("st")} || ' ' || {_TEXT} || chr(10), '' ORDER BY pos) END AS content FROM segments GROUP BY rec""",
     "file_stem": r"""SELECT doc_id, name, regexp_replace(name, '(?s)^(\.*[^.].*)\.[^.]*$', '\1') AS stem FROM (
