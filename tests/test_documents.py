@@ -164,15 +164,64 @@ def test_batch_refuses_what_it_cannot_tell_apart(spark, tmp_path):
     (tmp_path / "j" / "a.json").write_text(json.dumps(GOOD))
     frame = lambda *rows: spark.createDataFrame(rows, "rec string, path string")
     with pytest.raises(ValueError, match="more than one recording"):
-        batch.lines(spark, frame(("a", "/x/a.m4a"), ("a", "/y/a.wav")), JsonFolder(str(tmp_path / "j")))
+        batch.transcribe(spark, frame(("a", "/x/a.m4a"), ("a", "/y/a.wav")), str(tmp_path / "o"), JsonFolder(str(tmp_path / "j")))
     with pytest.raises(FileNotFoundError, match="b"):
-        batch.lines(spark, frame(("a", "/x/a.m4a"), ("b", "/x/b.m4a")), JsonFolder(str(tmp_path / "j")))
+        batch.transcribe(spark, frame(("a", "/x/a.m4a"), ("b", "/x/b.m4a")), str(tmp_path / "o"), JsonFolder(str(tmp_path / "j")))
+    assert not (tmp_path / "o").exists()
     silent = spark.createDataFrame([("s", "/x/s.m4a")], "rec string, path string")
     (tmp_path / "j" / "s.json").write_text('{"segments": []}')
     batch.transcribe(spark, silent, str(tmp_path / "o"), JsonFolder(str(tmp_path / "j")))
     assert [(p.name, p.read_bytes()) for p in (tmp_path / "o").iterdir()] == [("s.txt", b"")]
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_integrity_is_part_of_the_job(spark, tmp_path, exact):
+    """Nothing runs before the lines are asked for, each folder of documents is read once, and any use of them is checked."""
+    for folder, doc in (("s", GOOD), ("t", TURNS)):
+        (tmp_path / folder).mkdir()
+        for rec in "ab":
+            (tmp_path / folder / f"{rec}.json").write_text(json.dumps(doc))
+    asked = lambda *recs: spark.createDataFrame([(r, f"/x/{r}.m4a") for r in recs], "rec string, path string")
+    speech, speakers = JsonFolder(str(tmp_path / "s")), JsonFolder(str(tmp_path / "t"))
+    sc, group = spark.sparkContext, f"lines-{exact}"
+    sc.setJobGroup(group, "")
+    found = batch.lines(spark, asked("a"), speech, exact=exact)
+    missing, twice = batch.lines(spark, asked("a", "c"), speech, exact=exact), batch.lines(spark, asked("b", "b"), speech, exact=exact)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not sc.statusTracker().getJobIdsForGroup(group)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    assert [r.rec for r in found.collect()] == ["a", "a"]
+    assert {r.rec for r in batch.lines(spark, asked("a", "b"), speech, speakers, exact).collect()} == {"a", "b"}
+    for lines, kind, told in ((missing, FileNotFoundError, "^no document for c$"), (twice, ValueError, "^more than one recording is named b$")):
+        for use in (lambda f: f.collect(), lambda f: f.count(), lambda f: f.select("pos").collect()):
+            with pytest.raises(kind, match=told), documents.told_plainly():
+                use(lines)
+    with pytest.raises(ZeroDivisionError), documents.told_plainly():
+        1 / 0
+    (tmp_path / "s2").mkdir()
+    (tmp_path / "s2" / "a.json").write_text(json.dumps(GOOD))
+    with pytest.raises(ValueError, match="^more than one document for a$"), documents.told_plainly():
+        batch.lines(spark, asked("a"), JsonFolder(str(tmp_path / "{s,s2}")), exact=exact).collect()
+
+
+def test_a_failed_run_leaves_the_earlier_file(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "a.txt").write_text("earlier")
+    with pytest.raises(FileNotFoundError):
+        cli.main([str(tmp_path / "a.m4a"), "--json-dir", str(tmp_path / "s"), "-o", str(tmp_path)], spark)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.txt", "s"] and (tmp_path / "a.txt").read_text() == "earlier"
+
+
+def test_strict_command_line(spark, tmp_path):
+    doc = {"segments": [{"start": 0, "end": 2, "speaker": None}]}
+    for folder, d in (("s", {"segments": [{"start": 0, "end": 2, "text": "x"}]}), ("t", doc)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.json").write_text(json.dumps(d))
+    told = [str(tmp_path / "a.m4a"), "--diarize", "--json-dir", str(tmp_path / "s"), "--turns-dir", str(tmp_path / "t"), "-o", str(tmp_path)]
+    assert open(cli.main(told, spark)).read() == "[UNKNOWN] 00:00 x\n"
+    assert open(cli.main([*told, "--strict"], spark)).read() == "[None] 00:00 x\n"
+
+
 def test_recordings_and_folders(spark, tmp_path):
     for name in ("a b+.m4a", "c%d.m4a"):
         (tmp_path / name).write_bytes(b"12345")

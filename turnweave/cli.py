@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from turnweave.functions.scalars import stem
 from turnweave.plans import batch
 from turnweave.sources.backends import Backend, JsonFolder, speaker_tool, speech_tool
+from turnweave.sources.documents import told_plainly
 from turnweave.sources.sinks import write_single
 
 log = logging.getLogger("turnweave")
@@ -30,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--json-dir", help="folder with the transcription's document")
     p.add_argument("--results-dir", help="folder that keeps the tools' documents, so that a later run need not call them again")
     p.add_argument("--turns-dir", help="folder with the diarization's document")
+    p.add_argument("--strict", action="store_true", help="take the documents' fields as they are: a null speaker is printed, text must be text")
     return p
 
 
@@ -49,9 +51,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     if args.diarize:
         log.info("finding the speakers of %s", name)
         speakers = JsonFolder(args.turns_dir) if args.turns_dir else speaker_tool(args.hf_token, args.results_dir)
-    lines = batch.lines(spark, one, speech, speakers)
+    lines = batch.lines(spark, one, speech, speakers, args.strict)
     path = os.path.join(args.output_dir, f"{rec}.txt")
-    write_single(lines, path)
+    with told_plainly():
+        write_single(lines, path)
     log.info("wrote %s", path)
     return path
 

@@ -5,30 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from turnweave.plans.transcripts import transcript
-from turnweave.sources import documents
+from turnweave.sources import documents, strict
 from turnweave.sources.backends import Backend
 from turnweave.sources.sinks import write_files
 
 
-def lines(spark: SparkSession, recordings: DataFrame, speech: Backend, speakers: Backend | None = None) -> DataFrame:
+def lines(spark: SparkSession, recordings: DataFrame, speech: Backend, speakers: Backend | None = None, exact: bool = False) -> DataFrame:
     """Lines ``rec, pos, line`` of the recordings (``rec, path``), labelled if there is a source of speakers.
 
-    Fails if two recordings share a stem, or if one has no document or more than one.
+    The job that computes them fails if two recordings share a stem, or if one has no document or more than one. With
+    ``exact`` fields are taken as they are (``sources.strict``).
     """
-    documents.check_stems(recordings)
+    said = documents.matched(speech.documents(spark, recordings), recordings)
+    told = documents.matched(speakers.documents(spark, recordings), recordings) if speakers else None
+    if exact:
+        return strict.transcript(said, told)
+    return transcript(documents.segments(said), None if told is None else documents.turns(told))
 
-    def read(backend: Backend) -> DataFrame:
-        found = backend.documents(spark, recordings)
-        documents.check_recordings(found, recordings)
-        return found
 
-    segments = documents.segments(read(speech))
-    return transcript(segments, documents.turns(read(speakers)) if speakers else None)
-
-
-def transcribe(spark: SparkSession, recordings: DataFrame, folder: str, speech: Backend, speakers: Backend | None = None) -> None:
+def transcribe(spark: SparkSession, recordings: DataFrame, folder: str, speech: Backend, speakers: Backend | None = None, exact: bool = False) -> None:
     """Writes ``STEM.txt`` per recording into ``folder``, an empty one for a recording in which nobody speaks.
 
     With tools that keep their results (``ExternalTool.results``) a run after a failure takes up what the first has done.
     """
-    write_files(lines(spark, recordings, speech, speakers), folder, recordings)
+    with documents.told_plainly():
+        write_files(lines(spark, recordings, speech, speakers, exact), folder, recordings)

@@ -6,6 +6,10 @@ unnested: a check on an unnested column would be pruned with the column.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,26 +34,34 @@ def raw_documents(spark: SparkSession, paths: str | list[str], by_folder: bool =
     return files.select(stem(decoded_name(F.col("_metadata.file_name"))).alias("rec"), F.col("value").alias("json"))
 
 
-#: Recordings that an error names.
-_NAMED = 20
-
+_NO_DOCUMENT, _MORE_DOCUMENTS, _MORE_RECORDINGS = "no document for", "more than one document for", "more than one recording is named"
 
-def check_stems(recordings: DataFrame) -> None:
-    """Fail if two recordings share a stem: one's transcript would replace the other's."""
-    twice = recordings.groupBy("rec").agg(F.count("*").alias("n")).where("n > 1")
-    if names := [r["rec"] for r in twice.orderBy("rec").limit(_NAMED).collect()]:
-        raise ValueError(f"more than one recording is named {', '.join(names)}")
 
+def matched(found: DataFrame, recordings: DataFrame) -> DataFrame:
+    """``rec, json`` of the recordings (``rec``) that are asked for; other documents are left out.
 
-def check_recordings(found: DataFrame, recordings: DataFrame) -> None:
-    """Fail if a recording (``rec``) that was asked for is missing, as files whose names start with _ or . are, or is
-    there twice."""
-    counts = found.groupBy("rec").agg(F.count("*").alias("n"))
-    wrong = recordings.select("rec").distinct().join(counts, "rec", "left").where("n IS NULL OR n > 1").orderBy("rec").limit(_NAMED).collect()
-    if missing := [r["rec"] for r in wrong if r["n"] is None]:
-        raise FileNotFoundError(f"no document for {', '.join(missing)}")
-    if twice := [r["rec"] for r in wrong if r["n"]]:
-        raise ValueError(f"more than one document for {', '.join(twice)}")
+    The job that reads the documents fails itself if a recording is there twice, as one's transcript would replace the
+    other's, or has no document, as files whose names start with _ or . do, or has more than one. The error names one of
+    them. Documents move once, by ``rec``, as what follows needs them; nothing is read beforehand.
+    """
+    asked = recordings.select("rec", F.lit(1).alias("asked"), F.lit(None).cast("string").alias("json"))
+    given = found.select("rec", F.lit(0).alias("asked"), "json")
+    one = asked.union(given).groupBy("rec").agg(F.sum("asked").alias("asked"), (F.count("*") - F.sum("asked")).alias("given"), F.first("json", ignorenulls=True).alias("json"))
+    wrong = F.when(F.col("asked") > 1, F.lit(_MORE_RECORDINGS)).when(F.col("given") == 0, F.lit(_NO_DOCUMENT)).when(F.col("given") > 1, F.lit(_MORE_DOCUMENTS))
+    told = F.raise_error(F.concat(wrong, F.lit(" "), F.coalesce(F.col("rec"), F.lit("null"))))
+    return one.where("asked > 0").select("rec", F.when(wrong.isNotNull(), told).otherwise(F.col("json")).alias("json"))
+
+
+@contextmanager
+def told_plainly() -> Iterator[None]:
+    """Turns the failures of ``matched`` in a job into FileNotFoundError or ValueError; others pass as they are."""
+    try:
+        yield
+    except Exception as failed:  # a job's failure has several classes, by the way it was started
+        found = re.search(rf"(?:\[USER_RAISED_EXCEPTION\] )(({_NO_DOCUMENT}|{_MORE_DOCUMENTS}|{_MORE_RECORDINGS}) .*?)(?: SQLSTATE: \w+)?$", str(failed), re.MULTILINE)
+        if not found:
+            raise
+        raise (FileNotFoundError if found[2] == _NO_DOCUMENT else ValueError)(found[1]) from failed
 
 
 def _finite(time: Column) -> Column:

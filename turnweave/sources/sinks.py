@@ -111,9 +111,15 @@ def write_files(lines: DataFrame, folder: str, recordings: DataFrame | None = No
 
 
 def write_single(lines: DataFrame, path: str) -> None:
-    """One file at a path of the driver, truncated if it exists; rows stream from the executors in order."""
+    """One file at a path of the driver, replaced when all is written; rows stream from the executors in order."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     ordered = lines.orderBy("rec", "pos").select("line")
-    with open(path, "w", encoding="utf-8", newline="\n") as out:
-        for row in ordered.toLocalIterator():
-            out.write(f"{row.line}\n")
+    unfinished = f"{path}.{uuid.uuid4().hex}"
+    try:
+        with open(unfinished, "w", encoding="utf-8", newline="\n") as out:
+            for row in ordered.toLocalIterator():
+                out.write(f"{row.line}\n")
+        os.replace(unfinished, path)
+    finally:
+        if os.path.exists(unfinished):
+            os.remove(unfinished)
