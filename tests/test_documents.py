@@ -124,6 +124,25 @@ def test_tools_run_once_per_recording(spark, tmp_path, monkeypatch):
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"r{n}.txt" for n in range(5)]
 
 
+def test_progress_of_a_run(spark, tmp_path):
+    tool, _ = counting_tool(tmp_path, GOOD)
+    slow = tmp_path / "slow.sh"
+    slow.write_text(f'#!/bin/sh\nsleep 0.5\nexec "{tool}" "$@"\n')
+    slow.chmod(0o755)
+    frame = lambda n: spark.createDataFrame([(f"r{i}", f"/x/r{i}.m4a") for i in range(n)], "rec string, path string")
+    seen = []
+    backend = ExternalTool(str(slow), results=str(tmp_path / "kept"), progress=seen.append, progress_seconds=0.1)
+    assert backend.documents(spark, frame(8)).count() == 8
+    assert seen == sorted(seen) and seen[-1] == 8 and any(0 < n < 8 for n in seen)
+    seen.clear()
+    assert backend.documents(spark, frame(10)).count() == 10 and seen[-1] == 2
+    seen.clear()
+    slow.write_text("#!/bin/sh\nexit 3\n")
+    with pytest.raises(Exception):
+        backend.documents(spark, frame(11)).count()
+    assert seen[-1] == 0
+
+
 def test_a_run_takes_up_what_a_failed_one_has_done(spark, tmp_path):
     (tmp_path / "s").mkdir()
     tool, runs = counting_tool(tmp_path / "s", GOOD)

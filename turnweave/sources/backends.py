@@ -11,8 +11,10 @@ import os
 import shutil
 import subprocess
 import tempfile
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+import threading
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from itertools import islice
 from typing import Protocol
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.sources.documents import raw_documents
-from turnweave.sources.storage import file_system, is_file, put, shared_folder
+from turnweave.sources.storage import count_files, file_system, is_file, put, shared_folder
 
 #: The model of both tools; the settings of the transcription, which keep it from inventing repeated text
 #: in silence; the tools' names; where the first may be besides PATH.
@@ -79,6 +81,9 @@ class ExternalTool:
     Recordings on the executors' own or shared disks are handed over by path. Others are read by Spark, a file a row in
     partitions of ``spark.sql.files.maxPartitionBytes`` or one file, and are a file in the task's scratch folder while the
     tool runs; they can be as large as a Spark row, 2 GB.
+
+    ``progress`` is called on the driver every ``progress_seconds``, and once after the last tool, with the number of
+    recordings finished in this run, counted by their documents and so exact whatever tasks are lost or run again.
     """
 
     command: str
@@ -86,6 +91,8 @@ class ExternalTool:
     folder_option: str = "-o"
     environment: dict[str, str] = field(default_factory=dict)
     results: str | None = None
+    progress: Callable[[int], None] | None = None
+    progress_seconds: float = 30.0
 
     def documents(self, spark: SparkSession, recordings: DataFrame) -> DataFrame:
         told = hashlib.sha256("\0".join([self.command, *self.options, self.folder_option]).encode()).hexdigest()
@@ -93,12 +100,35 @@ class ExternalTool:
         files, path = file_system(folder)
         files.create_dir(path, recursive=True)
         named = recordings.select("rec", "path", _key(recordings).alias("key"))
-        for missing in self._missing(named, folder):
-            # the last action on what is missing; a task that runs again skips what its first attempt has kept
-            missing.mapInArrow(self._run(folder), "kept boolean").write.format("noop").mode("overwrite").save()
+        run = replace(self, progress=None)._run(folder)  # tasks need no callback of the driver
+        with self._telling(folder):
+            for missing in self._missing(named, folder):
+                # the last action on what is missing; a task that runs again skips what its first attempt has kept
+                missing.mapInArrow(run, "kept boolean").write.format("noop").mode("overwrite").save()
         kept = spark.read.text(folder, wholetext=True).select(F.regexp_extract("_metadata.file_name", "^([0-9a-f]+)", 1).alias("key"), F.col("value").alias("json"))
         return named.join(kept, "key").select("rec", "json")
 
+    @contextmanager
+    def _telling(self, folder: str) -> Iterator[None]:
+        """Calls ``progress`` while the block runs, and after it even if it fails."""
+        if self.progress is None:
+            yield
+            return
+        before, ended = count_files(folder, ".json"), threading.Event()
+
+        def watch() -> None:
+            while not ended.wait(self.progress_seconds):
+                self.progress(count_files(folder, ".json") - before)
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        watcher.start()
+        try:
+            yield
+        finally:
+            ended.set()
+            watcher.join()
+            self.progress(count_files(folder, ".json") - before)
+
     def _missing(self, named: DataFrame, folder: str) -> Iterator[DataFrame]:
         """``rec, path, key, content`` of recordings without a document; content is null where a path will do."""
 

@@ -38,3 +38,8 @@ def put(path: str, content: bytes) -> None:
 def is_file(path: str) -> bool:
     files, at = file_system(path)
     return files.get_file_info(at).type == fs.FileType.File
+
+
+def count_files(folder: str, suffix: str) -> int:
+    files, at = file_system(folder)
+    return sum(f.type == fs.FileType.File and f.path.endswith(suffix) for f in files.get_file_info(fs.FileSelector(at, allow_not_found=True)))
