@@ -99,6 +99,10 @@ def test_problems_are_all_told(spark):
         ("r3", "turn", -1): "has segments that are no list",
     }
     assert strict.problems(raw(spark, {"segments": []})).count() == 0
+    lost = spark.createDataFrame([("r", None)], "rec string, json string")
+    assert [(r.kind, r.pos, r.problem) for r in strict.problems(lost, lost).collect()] == [("segment", -1, "is no object"), ("turn", -1, "is no object")]
+    nothing = lost.where("false")
+    assert strict.problems(nothing, nothing).count() == strict.transcript(nothing, nothing).count() == strict.segments(nothing).count() == 0
 
 
 @pytest.mark.parametrize("bad", ['{"segments": [{"start": 0', '{"segments": [{"start": NaN, "end": 1, "text": ""}]}', '{"segments": [], "segments": []}', ""])

@@ -14,7 +14,7 @@ field is looked at before it gets a type:
 | a turn's ``speaker`` | ``UNKNOWN`` | ``None``, as it is printed | whole numbers as digits, else a problem |
 
 Numbers are JSON numbers that a double can hold; truth values and digits in quotes are none. Text that is not JSON, NaN,
-and a key that is there twice in one object are errors of the parser. Problems are found on the whole array before it is
+and a key that is there twice in one object are errors of the parser; a null in place of a document is a problem. Problems are found on the whole array before it is
 unnested, so that no pruning of columns hides one.
 """
 
@@ -61,7 +61,7 @@ _TURN_PROBLEM = f"coalesce({_time_problem('s', 'start')}, {_time_problem('s', 'e
 def _checked(documents: DataFrame, problem: str, optional: bool) -> DataFrame:
     """``rec, items, problems``: the elements as VARIANT, and (pos, problem) of each that is wrong; pos is -1 for a list."""
     doc = documents.select("rec", F.parse_json("json").alias("doc"))
-    doc = doc.selectExpr("rec", "variant_get(doc, '$.segments', 'variant') AS listed", "NOT startswith(schema_of_variant(doc), 'OBJECT') AS bare")
+    doc = doc.selectExpr("rec", "variant_get(doc, '$.segments', 'variant') AS listed", "variant_get(doc, '$.segments', 'variant') IS NULL AND coalesce(NOT startswith(schema_of_variant(doc), 'OBJECT'), true) AS bare")
     doc = doc.selectExpr("rec", "listed", "bare", "try_variant_get(listed, '$', 'array<variant>') AS items")
     lists = f"""CASE WHEN bare THEN 'is no object' WHEN listed IS NULL THEN {'NULL' if optional else "'has no segments'"}
                      WHEN is_variant_null(listed) THEN 'has null segments' WHEN items IS NULL THEN 'has segments that are no list' END"""
