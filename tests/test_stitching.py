@@ -1,0 +1,199 @@
+import random
+import re
+
+import pytest
+
+from turnweave.operators import stitching
+from turnweave.operators.stitching import numbered, offsets, stitch
+from turnweave.plans import batch
+from turnweave.plans.transcripts import stitched
+from turnweave.sources.backends import JsonFolder
+from turnweave.sources.schemas import SEGMENTS, TURNS
+
+PIECES = "rec string, piece int, length double"
+TOLD = "rec string, piece int, pos int, start double, end double, text string, last string"
+
+
+@pytest.mark.parametrize("block", [3, 1024])
+def test_offsets(spark, monkeypatch, block):
+    monkeypatch.setattr(stitching, "BLOCK", block)
+    rng = random.Random(4)
+    lengths = {f"r{n}": [rng.randint(20, 60) / 8 for _ in range(n)] for n in (1, 2, 3, 6, 7, 20)}
+    rows = [(rec, k, x) for rec, xs in lengths.items() for k, x in enumerate(xs)]
+    rng.shuffle(rows)
+    found = {(r.rec, r.piece): (r.offset, r.last) for r in offsets(spark.createDataFrame(rows, PIECES), 0.5).collect()}
+    assert found == {(rec, k): (sum(xs[:k]) - 0.5 * k, k == len(xs) - 1) for rec, xs in lengths.items() for k in range(len(xs))}
+    assert offsets(spark.createDataFrame([], PIECES)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("rows", "message"),
+    [
+        ([(1, 9.0)], "without gaps"),
+        ([(0, 9.0), (2, 9.0)], "without gaps"),
+        ([(0, 9.0), (0, 9.0), (1, 9.0)], "without gaps"),
+        ([(n, 9.0) for n in range(8) if n not in (3, 4, 5)], "without gaps"),
+        ([(0, None)], "no length"),
+        ([(0, float("nan"))], "no length"),
+        ([(0, float("inf"))], "no length"),
+        ([(0, 1.5), (1, 9.0)], "two overlaps"),
+        ([(None, 9.0)], "without gaps"),
+    ],
+)
+def test_pieces_that_cannot_be(spark, monkeypatch, rows, message):
+    monkeypatch.setattr(stitching, "BLOCK", 3)
+    with pytest.raises(Exception, match=message):
+        offsets(spark.createDataFrame([("r", k, x) for k, x in rows], PIECES), 1.0).collect()
+
+
+def test_last_piece_may_be_short(spark):
+    found = offsets(spark.createDataFrame([("r", 0, 4.0), ("r", 1, 0.5)], PIECES), 1.0)
+    assert sorted(r.offset for r in found.collect()) == [0.0, 3.0]
+
+
+def cut_up(whole, lengths, overlap):
+    """Segments of each piece, as a tool leaves them that hears those which start within it."""
+    out, at = [], 0.0
+    for k, length in enumerate(lengths):
+        inside = [(s, e, t) for s, e, t in whole if at <= s < at + length]
+        out += [(k, i, s - at, e - at, t) for i, (s, e, t) in enumerate(inside)]
+        at += length - overlap
+    return out
+
+
+def test_whole_again(spark):
+    rng = random.Random(8)
+    segments, pieces, wanted = [], [], {}
+    for n in range(12):
+        words, whole, at = [f"w{i}" for i in range(rng.choice([3, 40, 4000]))], [], 0.0
+        while at < 150:
+            length = rng.randint(1, 60) / 8
+            whole.append((at, at + length, " ".join(rng.choices(words, k=rng.randint(0, 9)))))
+            at += length
+        lengths = [rng.randint(160, 320) / 8 for _ in range(5)] + [200.0]
+        pieces += [(f"r{n}", k, x) for k, x in enumerate(lengths)]
+        segments += [(f"r{n}", *s, "kept") for s in cut_up(whole, lengths, 8.0)]
+        wanted[f"r{n}"] = [(i, *s) for i, s in enumerate(whole)]
+    found = stitch(spark.createDataFrame(segments, TOLD), spark.createDataFrame(pieces, PIECES), 8.0)
+    assert found.columns == ["rec", "pos", "start", "end", "text", "last"]
+    got = {}
+    for r in found.orderBy("rec", "pos").collect():
+        assert r["last"] == "kept"
+        got.setdefault(r.rec, []).append((r.pos, r.start, r.end, r.text))
+    assert got == wanted
+
+
+def brute(early, late, overlap, length):
+    """The seam of two pieces by comparing every word with every other."""
+    bare = lambda w: re.sub(r"[\W_]", "", w.lower()) or w
+    tail = [(p, w, bare(x), w == len(t.split()) - 1) for p, (s, e, t) in enumerate(early) if e > length - overlap for w, x in enumerate(t.split())]
+    head = [(p, w, bare(x), w == len(t.split()) - 1) for p, (s, e, t) in enumerate(late) if s < overlap for w, x in enumerate(t.split())]
+    grams = lambda side: [tuple(x[2] for x in side[i : i + 3]) for i in range(len(side) - 2)]
+    a, b = grams(tail), grams(head)
+    votes = {}
+    for i, g in enumerate(a):
+        for j, h in enumerate(b):
+            if g == h and a.count(g) == b.count(g) == 1:
+                votes[i - j] = votes.get(i - j, 0) + 1
+    if not votes:
+        kept = [(s, t) for s, e, t in early if e <= length - overlap or s < length - overlap / 2]
+        return kept + [(length - overlap + s, t) for s, e, t in late if s >= overlap / 2]
+    shift = max(votes, key=lambda d: (votes[d], -abs(d), -d))
+    runs, run = [], []
+    for i in range(len(tail) + 1):
+        j = i - shift
+        if i < len(tail) and 0 <= j < len(head) and tail[i][2] == head[j][2]:
+            run.append((i, j))
+        elif run:
+            runs.append(run)
+            run = []
+    run = max(runs, key=lambda r: (len(r), -r[0][0]))
+    i, j = max(run, key=lambda ij: (2 if tail[ij[0]][3] and head[ij[1]][3] else 1 if tail[ij[0]][3] else 0, ij[0]))
+    out = []
+    for p, (s, e, t) in enumerate(early):
+        words = t.split()
+        if p < tail[i][0] or e <= length - overlap:
+            out.append((s, t))
+        elif p == tail[i][0]:
+            out.append((s, " ".join(words[: tail[i][1] + 1])))
+    for p, (s, e, t) in enumerate(late):
+        words = t.split()
+        if p > head[j][0] or s >= overlap:
+            out.append((length - overlap + s, t))
+        elif p == head[j][0] and words[head[j][1] + 1 :]:
+            n = head[j][1] + 1
+            out.append((length - overlap + s + (e - s) * n / len(words), " ".join(words[n:])))
+    return out
+
+
+def test_noisy_seams_against_brute_force(spark):
+    """Both tools hear the overlap differently: other borders of segments, other times, lost and wrong words."""
+    rng = random.Random(21)
+    segments, pieces, wanted, joined = [], [], {}, 0
+    for n in range(60):
+        vocabulary = rng.choice([4, 30, 500])
+        said = [rng.choice(["W{}", "w{}", "w{},"]).format(rng.randrange(vocabulary)) for _ in range(30)]
+
+        def heard(shift):
+            out, at = [], 0.0
+            words = [w if rng.random() > 0.08 else "wrong" for w in said if rng.random() > 0.03]
+            while words:
+                k = rng.randint(1, 8)
+                out.append((at + shift, at + shift + k / 4, " ".join(words[:k])))
+                words, at = words[k:], at + k / 4
+            return out
+
+        early = [(0.0, 5.0, "before it all"), *heard(22.0)]
+        late = [*heard(rng.choice([0.0, 0.25])), (12.0, 13.0, "after it all")]
+        pieces += [(f"r{n}", 0, 30.0), (f"r{n}", 1, 30.0)]
+        segments += [(f"r{n}", k, i, *s, "") for k, side in enumerate((early, late)) for i, s in enumerate(side)]
+        wanted[f"r{n}"] = brute(early, late, 8.0, 30.0)
+        joined += len(" ".join(t for _, t in wanted[f"r{n}"]).split()) < 46
+    got = {rec: [] for rec in wanted}
+    for r in stitch(spark.createDataFrame(segments, TOLD), spark.createDataFrame(pieces, PIECES), 8.0).orderBy("rec", "pos").collect():
+        got[r.rec].append((r.start, r.text))
+    assert got == wanted
+    assert joined > 40  # what was said twice is there once
+
+
+def test_without_overlap_nothing_is_taken(spark):
+    rows = [("r", 0, 0, 0.0, 9.0, "one two  three", None), ("r", 2, 0, 0.0, 1.0, "one two three", None), ("r", 2, 1, 1.0, 2.0, None, None)]
+    found = stitch(spark.createDataFrame(rows, TOLD), spark.createDataFrame([("r", k, 5.0) for k in range(4)], PIECES))
+    assert [tuple(r)[1:5] for r in found.orderBy("pos").collect()] == [(0, 0.0, 9.0, "one two  three"), (1, 10.0, 11.0, "one two three"), (2, 11.0, 12.0, "")]
+    with pytest.raises(Exception, match="no length of a piece of r"):
+        stitch(spark.createDataFrame(rows, TOLD), spark.createDataFrame([("r", 0, 5.0)], PIECES)).collect()
+
+
+def test_many_equal_words_do_not_pair(spark):
+    text = "no " * 30_000
+    rows = [("r", 0, 0, 91.0, 99.0, text, ""), ("r", 1, 0, 1.0, 9.0, text, "")]
+    found = stitch(spark.createDataFrame(rows, TOLD), spark.createDataFrame([("r", 0, 100.0), ("r", 1, 100.0)], PIECES), 10.0)
+    assert [r.start for r in found.collect()] == [91.0]  # without a triple that is there once, by time
+
+
+def test_names_and_plan(spark):
+    assert [tuple(r) for r in numbered(spark.createDataFrame([("a_b_012",), ("x_0",)], "rec string")).collect()] == [("a_b", 12), ("x", 0)]
+    with pytest.raises(Exception, match="no number of a piece in the name meeting"):
+        numbered(spark.createDataFrame([("meeting",)], "rec string")).collect()
+    segments = spark.createDataFrame([("m_0", 0, 0.0, 1.0, "a")], SEGMENTS)
+    turns = spark.createDataFrame([("m_0", 0, 0.0, 1.0, "A")], TURNS)
+    plan = stitched(segments, spark.createDataFrame([("m_0", 9.0)], "rec string, length double"), turns, 1.0)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("NestedLoop", "Cartesian", "Python", "Arrow"))
+
+
+def test_batch_of_pieces(spark, tmp_path):
+    """Two pieces and a silent one give one transcript, with speakers told within each piece."""
+    speech, told = tmp_path / "speech", tmp_path / "told"
+    speech.mkdir(), told.mkdir()
+    (speech / "m_000.json").write_text('{"segments":[{"start":1,"end":3,"text":" first"},{"start":8,"end":10,"text":"said at the seam"}]}')
+    (speech / "m_001.json").write_text('{"segments":[{"start":0,"end":2,"text":"Said at the seam,"},{"start":3,"end":4,"text":"last"}]}')
+    (speech / "quiet_000.json").write_text('{"segments":[]}')
+    (told / "m_000.json").write_text('{"segments":[{"start":0,"end":10,"speaker":"A"}]}')
+    (told / "m_001.json").write_text('{"segments":[{"start":0,"end":4,"speaker":"B"}]}')
+    (told / "quiet_000.json").write_text("{}")
+    names = ["m_000", "m_001", "quiet_000"]
+    recordings = spark.createDataFrame([(n, f"/{n}.m4a") for n in names], "rec string, path string")
+    lengths = spark.createDataFrame([(n, 10.0) for n in names], "rec string, length double")
+    batch.transcribe(spark, recordings, str(tmp_path / "out"), JsonFolder(str(speech)), JsonFolder(str(told)), pieces=lengths, overlap=2.0)
+    assert (tmp_path / "out" / "m.txt").read_text() == "[A] 00:01 first\n[A] 00:08 said at the seam\n[B] 00:11 last\n"
+    assert (tmp_path / "out" / "quiet.txt").read_text() == ""

@@ -6,11 +6,11 @@ long as its text, and speakers' turns are segments shifted, left out and relabel
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnweave.functions import scalars
-from turnweave.operators import overlap
+from turnweave.operators import overlap, stitching
 from turnweave.plans import transcripts
 from turnweave.sources import documents, strict
 from turnweave.sources.sinks import write_files
@@ -181,6 +181,25 @@ def strict_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.problems(docs).select(F.col("rec").cast("bigint").alias("rec"), "kind", F.col("pos").cast("bigint").alias("pos"), "problem")
 
 
+def stitch_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each turn's piece starts if every turn of a conversation is a piece of its own, repeating none."""
+    segments, _ = _tables(spark, sf_dir)
+    length = F.col("end") - F.col("start")
+    pieces = segments.select("rec", (F.row_number().over(Window.partitionBy("rec").orderBy("pos")) - 1).alias("piece"), length.alias("length"))
+    return stitching.offsets(pieces).select("rec", F.col("piece").cast("bigint").alias("piece"), F.col("offset").alias("st"), (F.col("offset") + F.col("length")).alias("en"), F.col("last").alias("is_last"))
+
+
+def stitch_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings cut every 30 seconds into pieces of 40, whose segments within the overlaps stand in both, are whole again."""
+    segments, _ = _tables(spark, sf_dir)
+    ends = segments.groupBy("rec").agg(F.max("start").alias("until"))
+    pieces = ends.select("rec", F.explode(F.sequence(F.lit(0), F.floor(F.col("until") / 30).cast("int"))).alias("piece"), F.lit(40.0).alias("length"))
+    of = F.filter(F.array(F.floor(F.col("start") / 30) - 1, F.floor(F.col("start") / 30)), lambda k: (k >= 0) & (F.col("start") < k * 30 + 40))
+    told = segments.select("*", F.explode(of).alias("piece")).withColumn("piece", F.col("piece").cast("int"))
+    told = told.withColumns({"start": F.col("start") - F.col("piece") * 30.0, "end": F.col("end") - F.col("piece") * 30.0})
+    return _back(stitching.stitch(told, pieces, 10.0)).select("rec", F.col("pos").cast("bigint").alias("pos"), "st", "en", "role", "text")
+
+
 def recordings_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of the tables' folder as recordings: stems, and paths put together again."""
     found = documents.recordings(spark, f"{sf_dir}/*.parquet")
@@ -224,6 +243,8 @@ QUERIES = {
     "turns_scan": turns_scan,
     "strict_transcript": strict_transcript,
     "strict_problems": strict_problems,
+    "stitch_offsets": stitch_offsets,
+    "stitch_whole": stitch_whole,
     "recordings_scan": recordings_scan,
     "sink_partitioned": sink_partitioned,
     "file_stem": file_stem,
@@ -276,6 +297,9 @@ SELECT rec, pos, '[' || speaker || '] ' || {_time_sql("st")} || ' ' || {_TEXT} A
 SELECT rec, 'segment' AS kind, pos, CASE nth WHEN 0 THEN 'has a start that is no number' WHEN 1 THEN 'has a null start' WHEN 2 THEN 'has no start'
   WHEN 3 THEN 'has a text that is no string' WHEN 4 THEN 'has a null text' WHEN 5 THEN 'has no text' ELSE 'has no end' END AS problem FROM n WHERE nth < 7
 UNION ALL SELECT DISTINCT rec, 'segment', -1, CASE rec % 9 WHEN 0 THEN 'has no segments' ELSE 'has null segments' END FROM segments WHERE rec % 9 < 2""",
+    "stitch_offsets": f"""{_WITH} SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY pos) - 1 AS piece, st, en,
+  pos = max(pos) OVER (PARTITION BY rec) AS is_last FROM segments""",
+    "stitch_whole": f"{_WITH} SELECT rec, row_number() OVER (PARTITION BY rec ORDER BY st, pos) - 1 AS pos, st, en, role, coalesce(text, '') AS text FROM segments",
     "recordings_scan": "SELECT unnest([" + ", ".join(f"'{t}'" for t in TABLES) + "]) AS rec, true AS has_content, true AS path_is_whole",
     "sink_partitioned": f"""{_WITH} SELECT rec, CASE WHEN rec % 7 = 0 THEN '' ELSE string_agg({_time_sql("st")} || ' ' || {_TEXT} || chr(10), '' ORDER BY pos) END AS content FROM segments GROUP BY rec""",
     "file_stem": r"""SELECT doc_id, name, regexp_replace(name, '(?s)^(\.*[^.].*)\.[^.]*$', '\1') AS stem FROM (
