@@ -6,13 +6,15 @@ long as its text, and speakers' turns are segments shifted, left out and relabel
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnweave.functions import scalars
 from turnweave.operators import overlap, stitching
 from turnweave.plans import transcripts
-from turnweave.sources import documents, strict
+from turnweave.sources import documents, stored, strict
 from turnweave.sources.sinks import write_files
 from turnweave.sources.storage import shared_folder
 
@@ -89,6 +91,15 @@ def speaker_assign_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(found).select("rec", "pos", "st", "en", "speaker")
 
 
+def speaker_assign_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From tables of buckets, without a shuffle after they are written."""
+    own, run = stored.session(spark), uuid.uuid4().hex
+    for rows, kind in zip(_tables(spark, sf_dir), ("segments", "turns")):
+        stored.keep(rows, f"{kind}_{run}", int(spark.conf.get("spark.sql.shuffle.partitions")), shared_folder(spark))
+    found = overlap.assign_speakers(*(stored.kept(own, f"{kind}_{run}") for kind in ("segments", "turns")))
+    return _back(found).select("rec", "pos", "st", "en", "speaker")
+
+
 def transcript_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, _ = _tables(spark, sf_dir)
     return transcripts.plain(_padded(segments))
@@ -236,6 +247,7 @@ QUERIES = {
     "overlap_pairs": overlap_pairs,
     "speaker_assign": speaker_assign,
     "speaker_assign_binned": speaker_assign_binned,
+    "speaker_assign_stored": speaker_assign_stored,
     "transcript_plain": transcript_plain,
     "transcript_labelled": transcript_labelled,
     "transcript_chosen": transcript_chosen,
@@ -284,6 +296,7 @@ ORACLE_SQL = {
 FROM segments g JOIN turns t ON g.rec = t.rec AND g.st < t.en AND t.st < g.en AND g.st < g.en AND t.st < t.en""",
     "speaker_assign": _SPEAKERS,
     "speaker_assign_binned": _SPEAKERS,
+    "speaker_assign_stored": _SPEAKERS,
     "transcript_plain": f"{_WITH} SELECT rec, pos, {_time_sql(_SHIFTED)} || ' ' || {_STRIPPED} AS line FROM segments",
     "transcript_labelled": f"{_WITH} SELECT rec, pos, '[' || speaker || '] ' || {_time_sql(_SHIFTED)} || ' ' || {_STRIPPED} AS line FROM ({_ASSIGNED})",
     "transcript_chosen": f"""{_WITH} SELECT rec, pos, {_time_sql("st")} || ' ' || {_TEXT} AS line, false AS labelled FROM segments
