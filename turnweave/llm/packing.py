@@ -75,9 +75,8 @@ class Packer:
             self.filled.append(0)
             self.capacity.append(length)
         self.filled[bin_no] += size
-        if room > size:
-            self.by_room[room - size].append(bin_no)
-            self.rooms |= 1 << (room - size)
+        self.by_room[room - size].append(bin_no)  # a full bin still takes pieces of no bytes
+        self.rooms |= 1 << (room - size)
         return bin_no
 
     def downsized(self) -> list[int]:
