@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import time
@@ -7,7 +8,8 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from turnweave.llm import license_scan, pii, quality
+from tests.conftest import DATA
+from turnweave.llm import license_scan, pii, quality, queries
 
 SCHEMA = "doc_id bigint, text string, ledger int, mix string"
 SPACE = r"[^\x20\x09-\x0d]+"
@@ -95,6 +97,24 @@ def test_base_spans(spark, extra):
         assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_counts_of_each_kind(spark, tmp_path):
+    """The query's own columns; the spans of a kind stand anywhere among the others."""
+    several = ["a@b.co c@d.ef g@h.ij", "1.2.3.4 a@b.co 5.6.7.8", "+1 (517) 555-0938 1.2.3.4 4555595528066772", "300.1.1.1 x", "call +1 517 555 0938, then +1 517 555 0939", "", None]
+    given = [(n, t) for n, t in enumerate(several + personal())]
+    spark.createDataFrame(given, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    own = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    for folder, rows in ((str(tmp_path), given), (DATA, own)):
+        found = {r.doc_id: r for r in queries.op6_pii(spark, folder).collect()}
+        assert len(found) == len(rows)
+        for doc_id, text in rows:
+            spans = base_spans(text or "")
+            counts = Counter(s.split(":")[0] for s in spans.split(",") if s)
+            r = found[doc_id]
+            assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(counts[k] for k in KINDS), text
+            assert r.base_sha256 == hashlib.sha256(spans.encode()).hexdigest(), text
+            assert not spans or set(spans.split(",")) <= set(r.spans.split(",")), text
+
+
 def test_pii_of_nothing(spark):
     assert pii.find(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert pii.find(spark.createDataFrame([(1, None), (None, "plain")], "doc_id bigint, text string")).where("size(spans) = 0").count() == 2
